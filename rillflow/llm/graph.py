@@ -130,7 +130,7 @@ def link_lists(index: DataFrame, max_distance: int, verify: Verify | None = None
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of all linked nodes; root is the smallest node of the component.
+    """(node, root) of all linked nodes but the roots; root is the smallest node of the component.
 
     Alternating large and small stars; each round ends in the shared folder. Rounds grow with the logarithm of the
     longest chain.
