@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontaminate, packing, secrets, simhash, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": secrets.op1,
+        "op3_packing": packing.op3,
+        "op6_decontamination": decontaminate.op6,
         "op8_simhash_near_dedup": simhash.op8,
+        "op9_url_filter": urlfilter.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_decontamination": decontaminate.ORACLE_SQL,
+        "op9_url_filter": urlfilter.ORACLE_SQL,
+    }
