@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, secrets, simhash, urlfilter
+from . import decontaminate, linededup, packing, secrets, simhash, topk, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets.op1,
         "op3_packing": packing.op3,
+        "op4_line_dedup": linededup.op4,
         "op6_decontamination": decontaminate.op6,
         "op8_simhash_near_dedup": simhash.op8,
         "op9_url_filter": urlfilter.op9,
+        "op10_top_k": topk.op10,
     }
 
 
@@ -23,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_decontamination": decontaminate.ORACLE_SQL,
         "op9_url_filter": urlfilter.ORACLE_SQL,
+        "op10_top_k": topk.ORACLE_SQL,
     }
