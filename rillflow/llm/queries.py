@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, packing, secrets, simhash, topk, urlfilter
+from . import decontaminate, linededup, packing, secrets, simhash, topk, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": secrets.op1,
         "op3_packing": packing.op3,
         "op4_line_dedup": linededup.op4,
+        "op5_toxicity": toxicity.op5,
         "op6_decontamination": decontaminate.op6,
         "op8_simhash_near_dedup": simhash.op8,
         "op9_url_filter": urlfilter.op9,
