@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, packing, secrets, simhash, topk, toxicity, urlfilter
+from . import decontaminate, linededup, packing, pii, secrets, simhash, topk, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets.op1,
+        "op2_pii": pii.op2,
         "op3_packing": packing.op3,
         "op4_line_dedup": linededup.op4,
         "op5_toxicity": toxicity.op5,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, insort
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -22,3 +24,23 @@ def spans_text(spans: Column, kinds: list[str]) -> Column:
     names = F.array(*[F.lit(k) for k in kinds])
     each = F.transform(F.array_sort(F.array_distinct(spans)), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"]))
     return F.array_join(each, ",")
+
+
+class Taken:
+    """Disjoint stretches of a text, asked by bisection."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()):
+        self.spans: list[tuple[int, int]] = []
+        for a, b in sorted(spans):
+            if self.spans and a < self.spans[-1][1]:
+                self.spans[-1] = (self.spans[-1][0], max(b, self.spans[-1][1]))
+            else:
+                self.spans.append((a, b))
+
+    def meeting(self, start: int, end: int) -> tuple[int, int] | None:
+        """The last stretch that overlaps [start, end), if any."""
+        at = bisect_left(self.spans, (end, -1)) - 1
+        return self.spans[at] if at >= 0 and self.spans[at][1] > start else None
+
+    def add(self, start: int, end: int) -> None:
+        insort(self.spans, (start, end))
