@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, packing, pii, secrets, simhash, topk, toxicity, urlfilter
+from . import decontaminate, linededup, packing, pii, secrets, simhash, substrings, topk, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": linededup.op4,
         "op5_toxicity": toxicity.op5,
         "op6_decontamination": decontaminate.op6,
+        "op7_suffix_dedup": substrings.op7,
         "op8_simhash_near_dedup": simhash.op8,
         "op9_url_filter": urlfilter.op9,
         "op10_top_k": topk.op10,
