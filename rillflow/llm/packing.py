@@ -22,7 +22,7 @@ PIECE = 512
 #: Windows that one differencing fills; a block of pieces has about so many windows' tokens.
 BLOCK_WINDOWS = 256
 #: Words whose ids a worker keeps; the store is emptied when full.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 # Python splits at these too, the tokenizer does not (or special tokens need its own reading): such texts go to it whole.
 _ODD = re.compile("[\x1c-\x1f\u180e\u200b\ufeff]|<\\|")
 _WORDS: dict[str, dict[str, bytes]] = {}
@@ -46,6 +46,12 @@ def _tokenizer(path: str):
     return _LOADED[path]
 
 
+def plain_form(word: str) -> tuple[str, str]:
+    """A word and the sign at its end, which the tokenizer splits from a letter before it; ASCII in lower case, as it reads it."""
+    base, tail = (word[:-1], word[-1]) if len(word) > 1 and word[-1] in ".,;:!?|" and word[-2].isalpha() else (word, "")
+    return (base.lower() if base.isascii() else base), tail
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers.
 
@@ -69,8 +75,10 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         try:
             out.append(b"".join([known[w] for w in words]))
         except KeyError:
-            new = list({w for w in words if w not in known})
-            known.update(zip(new, whole(new)))
+            new = {w: plain_form(w) for w in set(words).difference(known)}
+            forms = list({f for pair in new.values() for f in pair}.difference(known))
+            known.update(zip(forms, whole(forms)))
+            known.update((w, known[base] + known[tail]) for w, (base, tail) in new.items())
             out.append(b"".join([known[w] for w in words]))
     return out
 
