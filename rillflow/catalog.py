@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from .plans import basic
+
+MODULES = (basic,)
 FLAGSHIP = "w10_province_stats"
 
 

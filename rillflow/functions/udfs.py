@@ -5,21 +5,22 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def my_upper(s: pd.Series) -> pd.Series:
     return s.str.upper()
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def weighted_avg(value: pd.Series, weight: pd.Series) -> int:
     """Grouped aggregate: whole-number weighted average; null for no weight."""
     total = weight.sum()
     return int((value * weight).sum() // total) if total else None
 
 
-@udtf(returnType="word string, length int")
+@udtf(returnType=StructType().add("word", StringType()).add("length", IntegerType()))
 class SplitWords:
     def eval(self, text: str, delimiter: str):
         for word in (text or "").split(delimiter):
@@ -50,7 +51,7 @@ def segmenter(words: list[str]):
     """A column function that segments text by a dictionary of bounded size."""
     known, longest = frozenset(words), max(map(len, words), default=1)
 
-    @pandas_udf("array<string>")
+    @pandas_udf(ArrayType(StringType()))
     def segment(s: pd.Series) -> pd.Series:
         return s.map(lambda t: dictionary_tokens(t, known, longest) if t is not None else None)
 
