@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import basic
+from .plans import basic, windowed
 
-MODULES = (basic,)
+MODULES = (basic, windowed)
 FLAGSHIP = "w10_province_stats"
 
 
