@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import basic, windowed
+from .plans import basic, ordered, warehouse, windowed
 
-MODULES = (basic, windowed)
+MODULES = (basic, windowed, ordered, warehouse)
 FLAGSHIP = "w10_province_stats"
 
 
