@@ -42,6 +42,23 @@ def spanning_links(bits: np.ndarray, max_distance: int, items: list | None = Non
     return out
 
 
+def _likely(batches: Iterator[pa.RecordBatch], max_distance: int) -> Iterator[pa.RecordBatch]:
+    """Sorted batches without most rows that can't link: keys met once, and pairs that are too far apart."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        keys, bits = batch.column("key").to_numpy(), batch.column("bits").to_numpy().view(np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(starts, n))
+        drop = sizes == 1
+        two = np.flatnonzero(sizes == 2)
+        drop[two] = np.bitwise_count(bits[starts[two]] ^ bits[starts[two] + 1]) > max_distance
+        drop[[0, -1]] = False  # these may go on in another batch
+        keep = np.repeat(~drop, sizes)
+        yield batch if keep.all() else batch.filter(pa.array(keep))
+
+
 def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Table, bool]]:
     """Runs of equal key in batches sorted by key, as tables; a run longer than ``limit`` comes in parts flagged True."""
     held: list[pa.RecordBatch] = []
@@ -93,7 +110,7 @@ def link_lists(index: DataFrame, max_distance: int, verify: Verify | None = None
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, like = [], [], None
-        for group, over in _groups(batches, limit):
+        for group, over in _groups(_likely(batches, max_distance), limit):
             like = group.schema
             if over:
                 yield from rows([], [], like, group)
