@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import basic, ordered, warehouse, windowed
+from .plans import basic, ordered, streams, warehouse, windowed
 
-MODULES = (basic, windowed, ordered, warehouse)
+MODULES = (basic, windowed, ordered, warehouse, streams)
 FLAGSHIP = "w10_province_stats"
 
 
