@@ -251,6 +251,30 @@ def u2_table_udf(s, d):
     return s.sql("select p_partkey, w.word, w.length from rill_part, lateral split_words(p_name, ' ') w")
 
 
+def c12_property_copy(s, d):
+    """Columns of two rows as one, those that clash renamed; the payment's own win."""
+    o = table(s, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("create_time"), F.col("o_totalprice").alias("amount"))
+    paid = table(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), (F.col("o_orderdate") + F.expr("interval 1 day")).alias("create_time"), (F.col("o_totalprice") * 2).alias("amount"))
+    j = paid.alias("p").join(o.alias("o"), F.col("p.id") == F.col("o.o_orderkey"))
+    return j.select(F.col("p.id").alias("payment_id"), F.col("p.create_time").alias("payment_create_time"), F.col("o.create_time").alias("order_create_time"), F.col("p.amount").alias("amount"))
+
+
+def j20_lateral_outer(s, d):
+    """A table function joined to each row; a row it gives nothing for stays with nulls."""
+    words = F.filter(F.split("p_name", " "), lambda w: F.length(w) > 4)
+    return table(s, d, "part").select("p_partkey", F.explode_outer(words).alias("word"))
+
+
+def t37_observed(s, d):
+    """Counters of processed rows beside the result."""
+    from pyspark.sql import Observation
+
+    seen = Observation("events")
+    kept = _events(s, d).observe(seen, F.count("*").alias("n"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"))
+    kept.write.format("noop").mode("overwrite").save()
+    return s.createDataFrame([(seen.get["n"], seen.get["errors"])], "n long, errors long")
+
+
 def u3_weighted(s, d):
     return table(s, d, "lineitem").groupBy("l_suppkey").agg(aggs.weighted_average("l_extendedprice", "cast(l_quantity as int)").alias("w_avg"))
 
@@ -309,6 +333,9 @@ QUERIES = {
     "c9_arrays": (lambda s, d: table(s, d, "part").select("p_partkey", F.element_at(F.split("p_name", " "), 1).alias("first"), F.size(F.split("p_name", " ")).alias("n"), F.create_map(F.lit("size"), "p_size")["size"].alias("size")), "select p_partkey, string_split(p_name, ' ')[1] as first, cast(len(string_split(p_name, ' ')) as integer) as n, p_size as size from part"),
     "c10_json_get_put": (lambda s, d: _events(s, d).select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.to_json(F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("event_type").alias("t"))).alias("made")), "select event_id, cast(json_extract(props, '$.k') as integer) as k, '{\"k\":' || json_extract(props, '$.k') || ',\"t\":\"' || event_type || '\"}' as made from events"),
     "c11_merge": (c11_merge, "select o_orderkey, coalesce(case when o_orderkey % 2 = 0 then o_orderpriority end, c_mktsegment) as seg from orders left join customer on o_custkey = c_custkey"),
+    "c12_property_copy": (c12_property_copy, "select o_orderkey as payment_id, o_orderdate + interval 1 day as payment_create_time, o_orderdate as order_create_time, o_totalprice * 2 as amount from orders where o_orderstatus = 'F'"),
+    "j20_lateral_outer": (j20_lateral_outer, "select p_partkey, unnest(case when len(w) = 0 then [null] else w end) as word from (select p_partkey, list_filter(string_split(p_name, ' '), lambda x: length(x) > 4) as w from part)"),
+    "t37_observed": (t37_observed, "select count(*) as n, count(*) filter (event_type = 'error') as errors from events"),
     "c13_casts": (lambda s, d: table(s, d, "part").select("p_partkey", F.expr("try_cast(replace(p_brand, 'Brand#', '') as int)").alias("brand_no"), F.expr("try_cast(p_type as int)").alias("none"), F.col("p_retailprice").cast("long").alias("whole")), "select p_partkey, try_cast(replace(p_brand, 'Brand#', '') as integer) as brand_no, try_cast(p_type as integer) as none, cast(trunc(p_retailprice) as bigint) as whole from part"),
     "c14_tokens": (c14_tokens, "select word, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as word from documents where lang = 'es') group by 1 having count(*) > 20"),
     "u1_scalar_udf": (u1_scalar_udf, "select c_custkey, upper(c_name) as name from customer where c_nationkey = 3"),

@@ -41,6 +41,21 @@ def w2_page_log(s, d):
     return routed.unionByName(shown).groupBy("route", "is_new").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
 
 
+def w3_fact_dim_routing(s, d):
+    """Changes of orders and customers by configuration: facts to the main output, dimensions to a keyed snapshot."""
+    o, c = table(s, d, "orders"), table(s, d, "customer")
+    maps = "map<string,string>"
+    facts = o.select(F.col("o_orderkey").alias("seq"), F.lit("order_info").alias("table_name"), F.when(F.col("o_orderstatus") == "P", "delete").otherwise("insert").alias("op"), F.create_map(F.lit("id"), F.col("o_orderkey").cast("string"), F.lit("total"), F.col("o_totalprice").cast("string")).cast(maps).alias("after"))
+    users = c.select(F.col("c_custkey").alias("seq"), F.lit("user_info").alias("table_name"), F.lit("insert").alias("op"), F.create_map(F.lit("id"), (F.col("c_custkey") % 700).cast("string"), F.lit("name"), F.col("c_name"), F.lit("seg"), F.col("c_mktsegment")).cast(maps).alias("after"))
+    config = s.createDataFrame([("order_info", "insert", "kafka", "dwd_order_info", "id"), ("user_info", "insert", "hbase", "dim_user_info", "id,name")], "source_table string, operate_type string, sink_type string, sink_table string, sink_columns string")
+    routed = project.route_by_config(facts.unionByName(users), config)
+    main = routed.where("sink_type = 'kafka'").groupBy("sink_table").agg(F.count("*").alias("n"), F.max(F.size("after")).alias("columns"), F.lit(None).cast("string").alias("last_name"))
+    rows = routed.where("sink_type = 'hbase'").select("sink_table", "seq", F.col("after")["id"].alias("id"), F.col("after")["name"].alias("name"), F.size("after").alias("columns"))
+    snapshot = changelog.apply_changelog(rows, ["sink_table", "id"], "seq", F.lit(False))
+    side = snapshot.groupBy("sink_table").agg(F.count("*").alias("n"), F.max("columns").alias("columns"), F.max("name").alias("last_name"))
+    return main.unionByName(side)
+
+
 def order_wide(s, d) -> DataFrame:
     o = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus")
     line = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
@@ -157,6 +172,7 @@ _MONTH = lambda c: f"date_trunc('month', {c})"
 QUERIES = {
     "w1_change_capture": (w1_change_capture, "select 'shop.user_info' as topic, cast(c_custkey as varchar) as key, 'insert' as type, '{\"id\":\"' || c_custkey || '\",\"name\":\"' || c_name || '\"}' as value from customer"),
     "w2_page_log": (w2_page_log, f"with log as ({_LOG}), r as (select *, case when is_new = 1 and sum(is_new) over (partition by mid order by event_id rows unbounded preceding) > 1 then 0 else is_new end as fixed from log), o as (select case when event_type = 'signup' then 'start' else 'page' end as route, fixed, event_id, event_type from r) select route, fixed as is_new, count(*) as n, max(event_id) as last_id from (select * from o union all select 'display', fixed, event_id, event_type from o where event_type = 'error') group by all"),
+    "w3_fact_dim_routing": (w3_fact_dim_routing, "select 'dwd_order_info' as sink_table, count(*) as n, 1 as columns, null as last_name from orders where o_orderstatus <> 'P' union all select 'dim_user_info', count(*), 2, max(name) from (select c_custkey % 700 as id, arg_max(c_name, c_custkey) as name from customer group by 1)"),
     "w4_order_wide": (w4_order_wide, f"select o_orderkey, l_linenumber, strftime(o_orderdate, '%Y-%m-%d') as create_date, cast(floor(date_diff('day', o_orderdate, date '2024-01-01') / 365) as integer) as age, c_mktsegment as segment, n_name as province, r_name as area, p_name as sku_name, p_brand as brand, s_name as supplier from {_WIDE}"),
     "w5_payment_wide": (w5_payment_wide, f"select o_orderkey as pay_order, l_linenumber, o_totalprice as payment, n_name as province, strftime(o_orderdate + interval 10 minute, '%Y-%m-%d %H:%M:%S') as pay_text from {_WIDE} where o_orderstatus = 'F'"),
     "w6_unique_visit": (w6_unique_visit, f"with log as ({_LOG}) select mid, count(*) as days from ({_FIRST}) group by 1"),
