@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_batches, cut, row_key, table
-from .spans import ARROW_SPAN, SPAN, base_digest, spans_text
+from .spans import ARROW_SPAN, SPAN, Taken, base_digest, spans_text
 
 #: The three base kinds, then those that linking adds.
 KINDS = ["assign", "access", "hex", "identifier", "credential", "endpoint"]
@@ -49,10 +49,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def parts_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
     """(scope, role, start, kind, end) of all parts of a credential, base spans among them; weak ones never overlap base."""
     parts = [(ID if k == 1 else SECRET, a, k, b) for a, k, b in base]
-    taken = sorted((a, b) for a, _, b in base)
+    taken = Taken((a, b) for a, _, b in base)
 
     def free(a: int, b: int) -> bool:
-        return not any(x < b and a < y for x, y in taken)
+        return taken.meeting(a, b) is None
 
     for pattern, role, kind in ((IDENTIFIER, ID, 3), (CREDENTIAL, SECRET, 4), (ENDPOINT, PLACE, 5)):
         parts += [(role, m.start(), kind, m.end()) for m in pattern.finditer(text) if free(*m.span())]
