@@ -21,6 +21,22 @@ def t6_stream(s, d):
     return ntz(runner.latest(runner.collected(rows, "update"), ["window_start", "window_end", "event_type"]))
 
 
+def n4_append_stream(s, d):
+    """Windows sent once, in append mode; a sentinel row closes the last ones."""
+    rows = runner.as_stream(runner.with_sentinel(table(s, d, "events"), "ts", "event_id"), "event_id", 3)
+    out = windows.tumble(rows.withWatermark("ts", "10 minutes"), "ts", "6 hours", ["user_id"], [F.count("*").alias("n")])
+    return ntz(runner.collected(out).where("user_id is not null").drop("batch_no"))
+
+
+def t17_lateness_stream(s, d):
+    """Rows in an order of arrival that isn't theirs in time: windows are sent again as late rows come, as long as the
+    delay and the allowed lateness together cover them."""
+    e = table(s, d, "events").withColumn("arrival", F.col("event_id") + F.pmod(F.col("event_id") * 7919, F.lit(40)))
+    rows = runner.as_stream(e, "arrival", 3).withWatermark("ts", "30 days")
+    out = windows.tumble(rows, "ts", "1 day", ["event_type"], [F.count("*").alias("n")])
+    return ntz(runner.latest(runner.collected(out, "update"), ["window_start", "window_end", "event_type"]))
+
+
 def t14_stream(s, d):
     rows = windows.cumulate(_stream(s, d), "ts", 7200, 86400, ["event_type"], [F.count("*").alias("n")], delay="1 day")
     return ntz(runner.latest(runner.collected(rows, "update"), ["window_start", "window_end", "event_type"]))
@@ -91,6 +107,8 @@ _CUM = "with e as (select *, date_trunc('day', ts) as window_start, unnest(range
 
 QUERIES = {
     "t6_tumbling_stream": (t6_stream, "select make_timestamp(epoch_us(ts) // 3600000000 * 3600000000) as window_start, make_timestamp(epoch_us(ts) // 3600000000 * 3600000000) + interval 1 hour as window_end, event_type, count(*) as n, max(value) as top from events group by all"),
+    "n4_append_stream": (n4_append_stream, "select make_timestamp(epoch_us(ts) // 21600000000 * 21600000000) as window_start, make_timestamp(epoch_us(ts) // 21600000000 * 21600000000) + interval 6 hour as window_end, user_id, count(*) as n from events group by all"),
+    "t17_lateness_stream": (t17_lateness_stream, "select cast(date_trunc('day', ts) as timestamp) as window_start, cast(date_trunc('day', ts) as timestamp) + interval 1 day as window_end, event_type, count(*) as n from events group by all"),
     "t14_cumulate_stream": (t14_stream, _CUM),
     "j4_interval_stream": (j4_stream, "select c.user_id, c.event_id as c_event_id, p.event_id as p_event_id from events c join events p on c.user_id = p.user_id and c.event_type = 'click' and p.event_type = 'purchase' and p.ts between c.ts - interval 5 hour and c.ts + interval 10 hour"),
     "j12_lookup_stream": (j12_stream, "select event_id, user_id, c_mktsegment as segment from events left join customer on user_id = c_custkey"),

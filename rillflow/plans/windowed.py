@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import aggs, joins, windows
+from ..operators import aggs, changelog, joins, windows
 from ..session import table
+from ..sources import readers
 
 
 def _events(s, d, *kinds: str) -> DataFrame:
@@ -224,6 +225,24 @@ def d1_shuffle(s, d):
     return spread.agg(F.count("*").alias("partitions"), F.sum("n").alias("n"))
 
 
+def d2_rescale(s, d):
+    placed = _events(s, d).repartition(8).coalesce(2).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))
+    return placed.agg(F.count("*").alias("partitions"), F.sum("n").alias("n"))
+
+
+def a11_set_uv(s, d):
+    """Distinct users of a window as the size of a set, the form a stream allows."""
+    return windows.tumble(_events(s, d), "ts", "1 day", ["event_type"], [F.size(F.collect_set("user_id")).alias("uv")])
+
+
+def s11_snapshot_changes(s, d):
+    """A snapshot as inserts, then changes: the table they leave."""
+    o = table(s, d, "orders").select((F.col("o_orderkey") % 900).alias("id"), "o_orderstatus", F.col("o_orderkey").alias("seq"))
+    snapshot = o.where("seq < 900").withColumn("op", F.lit("insert"))
+    changes = o.where("seq >= 900").withColumn("op", F.when(F.col("seq") % 5 == 0, "delete").otherwise("update"))
+    return changelog.apply_changelog(readers.changes_with_snapshot(snapshot, changes), ["id"], "seq", F.col("op") == "delete").drop("op")
+
+
 def d4_custom(s, d):
     """Rows of even and odd keys each in one partition of its own."""
     placed = _events(s, d).repartitionById(2, (F.col("user_id") % 2).cast("int")).withColumn("p", F.spark_partition_id())
@@ -279,6 +298,9 @@ QUERIES = {
     "r9_top_rows": (r9_top_rows, f"select user_id, {_DAY} as window_start, {_DAY} + interval 1 day as window_end, event_id, value, cast(row_number() over (partition by user_id, {_DAY} order by value desc, event_id) as integer) as rn from events qualify rn <= 2"),
     "r10_window_sort": (r10_window_sort, f"select window_start, v[1] as first, v[2] as second, cast(len(v) as integer) as n from (select {_DAY} as window_start, list_reverse_sort(list(value)) as v from events group by 1)"),
     "d1_shuffle": (d1_shuffle, "select cast(6 as bigint) as partitions, count(*) as n from events"),
+    "d2_rescale": (d2_rescale, "select cast(2 as bigint) as partitions, count(*) as n from events"),
+    "a11_set_uv": (a11_set_uv, "select cast(date_trunc('day', ts) as timestamp) as window_start, cast(date_trunc('day', ts) as timestamp) + interval 1 day as window_end, event_type, cast(count(distinct user_id) as integer) as uv from events group by all"),
+    "s11_snapshot_changes": (s11_snapshot_changes, "select o_orderkey % 900 as id, o_orderstatus, o_orderkey as seq from orders qualify row_number() over (partition by o_orderkey % 900 order by o_orderkey desc) = 1 and (o_orderkey < 900 or o_orderkey % 5 <> 0)"),
     "d4_custom_partition": (d4_custom, "select user_id % 2 as parity, cast(1 as bigint) as partitions, count(*) as n from events group by 1"),
     "d5_key_by": (d5_key_by, "select user_id, cast(1 as bigint) as partitions, count(*) as n from events group by 1"),
 }

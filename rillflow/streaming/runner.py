@@ -54,6 +54,13 @@ def collected(df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.parquet(path).drop("b")
 
 
+def with_sentinel(df: DataFrame, ts: str, order_by: str, days: int = 3650) -> DataFrame:
+    """The rows and one far later, last in order, with nulls else: it lets a stream in append mode close all windows of
+    the real rows, which ``availableNow`` alone doesn't."""
+    last = df.agg((F.max(ts) + F.expr(f"interval {days} days")).alias(ts), (F.max(order_by) + 1).alias(order_by))
+    return df.unionByName(last.select(*[F.col(c) if c in (ts, order_by) else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns]))
+
+
 def latest(df: DataFrame, keys: list[str]) -> DataFrame:
     """The last update of each key of what ``collected`` in update mode."""
     columns = [c for c in df.columns if c not in (*keys, "batch_no")]
