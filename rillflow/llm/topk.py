@@ -15,16 +15,17 @@ from .common import cut, table
 TOP, SCALE, EVERY = 5, 256, 50
 MOST = 2**63 - 1
 #: Vectors of a data shard and of a query block: what one task holds at once.
-SHARD, QUERY_BLOCK = 8192, 1024
-#: Points under a node of which it makes no more children.
-LEAF = 48
+SHARD, QUERY_BLOCK = 16384, 2048
+#: Points under a node of which it makes no more children, and centres of a level at most.
+LEAF, CENTRES = 256, 16
 
 
 class CoverTree:
     """Nodes with a centre point, the points below and the greatest distance to them (the covering radius).
 
-    A level picks centres greedily so that each point lies within half the parent's radius of one: the covering
-    invariant; centres are farther than that from each other: the separating invariant.
+    A level takes centres farthest first until they cover the node at half its radius, or there are CENTRES of them (in
+    many dimensions half the radius would take a centre for nearly every point); each point goes below its nearest
+    centre, as in nearest-ancestor cover trees.
     """
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
@@ -38,27 +39,25 @@ class CoverTree:
     def _node(self, own: np.ndarray) -> int:
         me = len(self.centre)
         points = self.points[own]
-        centre = points[0]
+        centre = points.mean(0)
         apart = np.sqrt(((points - centre) ** 2).sum(1))
         radius = float(apart.max())
         self.centre.append(centre)
         self.radius.append(radius * (1 + 1e-9) + 1e-9)
         self.members.append(own)
         self.children.append([])
-        if len(own) > self.leaf and radius > 0:
-            parts, rest, near = [], own, apart
-            while len(rest):
-                if len(parts) == 24:  # all centres of a level would be too many for one node: the others share one
-                    parts.append(rest)
+        if len(own) > self.leaf and (points != points[0]).any():
+            owner = np.zeros(len(own), int)
+            near = np.sqrt(((points - points[0]) ** 2).sum(1))
+            for k in range(1, CENTRES):
+                at = int(near.argmax())
+                if near[at] == 0 or k > 1 and near[at] <= radius / 2:
                     break
-                at = int(near.argmax()) if parts else 0
-                away = np.sqrt(((self.points[rest] - self.points[rest[at]]) ** 2).sum(1))
-                inside = away <= radius / 2
-                parts.append(np.concatenate([rest[[at]], np.delete(rest, at)[np.delete(inside, at)]]))
-                rest, near = rest[~inside], near[~inside]
-            if 1 < len(parts):
-                made = [self._node(p) for p in parts if len(p)]
-                self.children[me], self.members[me] = made, None
+                away = np.sqrt(((points - points[at]) ** 2).sum(1))
+                closer = away < near
+                owner[closer], near[closer] = k, away[closer]
+            made = [self._node(own[owner == k]) for k in range(owner.max() + 1) if (owner == k).any()]
+            self.children[me], self.members[me] = made, None
         return me
 
 
@@ -79,36 +78,37 @@ def dual_tree_top(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray,
     best: list[list[tuple[int, int]]] = [[] for _ in query_ids]
     kth = np.full(len(query_ids), -np.inf)
     a, b = CoverTree(queries), CoverTree(data)
-    norm_a, norm_b = [float(np.linalg.norm(c)) for c in a.centre], [float(np.linalg.norm(c)) for c in b.centre]
+    centre_a, centre_b = np.array(a.centre), np.array(b.centre)
+    radius_a, radius_b = np.array(a.radius), np.array(b.radius)
+    norm_a, norm_b = np.linalg.norm(centre_a, axis=1), np.linalg.norm(centre_b, axis=1)
+    bound = centre_a @ centre_b.T + norm_a[:, None] * radius_b + radius_a[:, None] * (norm_b + radius_b)
+    bound += 1e-6 * (np.abs(bound) + 1)
     below: list[np.ndarray] = [np.empty(0, int)] * len(a.centre)
     for n in range(len(a.centre) - 1, -1, -1):
         below[n] = a.members[n] if a.members[n] is not None else np.concatenate([below[c] for c in a.children[n]])
 
-    def bound(n: int, m: int) -> float:
-        top = float(a.centre[n] @ b.centre[m]) + norm_a[n] * b.radius[m] + norm_b[m] * a.radius[n] + a.radius[n] * b.radius[m]
-        return top + 1e-6 * (abs(top) + 1)
-
-    todo = [(-bound(a.root, b.root), 0, a.root, b.root)]
-    n_pairs = 1
+    todo, n_pairs = [(-bound[a.root, b.root], 0, a.root, b.root)], 1
     while todo:
         negative, _, n, m = heapq.heappop(todo)
         if -negative < kth[below[n]].min():
             continue
         split_a = a.children[n] and (not b.children[m] or a.radius[n] >= b.radius[m])
         if split_a or b.children[m]:
-            pairs = [(c, m) for c in a.children[n]] if split_a else [(n, c) for c in b.children[m]]
-            for x, y in pairs:
-                if (top := bound(x, y)) >= kth[below[x]].min():
-                    heapq.heappush(todo, (-top, n_pairs, x, y))
-                    n_pairs += 1
+            for x, y in [(c, m) for c in a.children[n]] if split_a else [(n, c) for c in b.children[m]]:
+                heapq.heappush(todo, (-bound[x, y], n_pairs, x, y))
+                n_pairs += 1
             continue
         rows, columns = below[n], b.members[m]
         scores = _scores(queries[rows], data[columns])
-        for i, row in zip(rows.tolist(), scores):
-            hits = np.flatnonzero(row >= kth[i])
-            if not len(hits):
-                continue
-            own = best[i] + [(int(row[j]), int(data_ids[columns[j]])) for j in hits if data_ids[columns[j]] != query_ids[i]]
+        ids = data_ids[columns]
+        hit = scores >= kth[rows][:, None]
+        for r in np.flatnonzero(hit.any(1)).tolist():
+            i = int(rows[r])
+            at = np.flatnonzero(hit[r] & (ids != query_ids[i]))
+            if len(at) > 4 * k:  # the k best of many, and all equal to the last of them
+                at = at[scores[r][at] >= np.partition(scores[r][at], len(at) - k)[len(at) - k]]
+            order = np.lexsort((ids[at], -scores[r][at]))[:k] if scores.dtype != object else range(len(at))
+            own = best[i] + [(int(scores[r][at[j]]), int(ids[at[j]])) for j in order]
             own.sort(key=lambda p: (-p[0], p[1]))
             best[i] = own[:k]
             if len(best[i]) == k:
