@@ -19,8 +19,9 @@ LENGTH, GRAM = 100, 24
 GRAMS = LENGTH - GRAM + 1
 #: Bytes of text that are hashed together; its positions must fit PLACE_BITS.
 CHUNK, PLACE_BITS = 1 << 19, 40
-#: Contexts of one anchor that a task sorts at once; more are dealt anew by their strings.
-CONTEXT_LIMIT = 4000
+#: Contexts that a task sorts at once (a gram with more is sorted an offset from its anchor at a time), and contexts of
+#: one gram that a task holds; still more are dealt anew by their strings.
+CONTEXT_LIMIT, GRAM_LIMIT = 4000, 100_000
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -195,7 +196,7 @@ def _identities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"own": _signed(identity(*(batch.column(k).to_numpy() for k in ("gram", "doc", "spot"))))})
 
 
-CONTEXTS = "gram long, doc long, tie long, first long, bytes binary"
+CONTEXTS = "gram long, doc long, tie long, at long, first long, bytes binary"
 
 
 def contexts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -208,7 +209,7 @@ def contexts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
             hit = np.flatnonzero(in_bitmap(sent.value, identity(gram, doc, _spot(at - begin, first - begin, last - begin))))
             if len(hit):
                 yield pa.record_batch({
-                    "gram": _signed(gram[hit]), "doc": pa.array(doc[hit]), "tie": pa.array(tie[hit]), "first": pa.array((first - begin)[hit]),
+                    "gram": _signed(gram[hit]), "doc": pa.array(doc[hit]), "tie": pa.array(tie[hit]), "at": pa.array((at - begin)[hit]), "first": pa.array((first - begin)[hit]),
                     "bytes": pa.array([data[a : b + LENGTH] for a, b in zip(first[hit].tolist(), last[hit].tolist())], pa.binary()),
                 })
 
@@ -222,6 +223,8 @@ def longest_previous_factors(text: np.ndarray, starts: np.ndarray, rank: np.ndar
     The suffixes are sorted by their first ``limit`` bytes, equal ones by rank. The nearest suffix of smaller rank on
     either side in that order (previous and next smaller value) gives the longest match with an earlier one.
     """
+    if not len(starts):
+        return np.zeros(0, np.int64)
     rows = text[starts[:, None] + np.arange(limit)[None, :]]
     keys = np.concatenate([rows, rank.astype(">u8").view(np.uint8).reshape(-1, 8)], axis=1)
     order = np.argsort(np.ascontiguousarray(keys).view(f"S{limit + 8}").ravel(), kind="stable")
@@ -265,55 +268,63 @@ def _found(doc, tie, start, end, data=None) -> pa.RecordBatch:
     })
 
 
-def _windows(t: pa.Table) -> tuple[np.ndarray, ...]:
-    """(text, place in the text, doc, tie, start) of all strings of the contexts; equal rows count once."""
+def _windows(t: pa.Table, offsets: tuple[int, int] = (0, GRAMS)) -> tuple[np.ndarray, ...]:
+    """(text, place in the text, doc, tie, start) of the strings of the contexts that start so many bytes before their
+    anchor (from, below); equal rows count once."""
     key = np.stack([t[k].to_numpy() for k in ("gram", "doc", "tie", "first")], 1)
     t = t.take(pa.array(np.unique(key, axis=0, return_index=True)[1]))
-    data = t["bytes"].combine_chunks()
-    if isinstance(data, pa.ChunkedArray):
-        data = pa.concat_arrays(data.chunks)
-    sizes = np.array([len(b) for b in data.to_pylist()])
-    text = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
+    data = t["bytes"].to_pylist()
+    sizes = np.array([len(b) for b in data])
+    text = np.frombuffer(b"".join(data), np.uint8)
     begin = np.cumsum(sizes) - sizes
-    n = sizes - LENGTH + 1
+    lead = t["at"].to_numpy() - t["first"].to_numpy()
+    low = np.maximum(lead - offsets[1] + 1, 0)
+    n = np.maximum(np.minimum(lead - offsets[0], sizes - LENGTH) - low + 1, 0)
     owner = np.repeat(np.arange(len(sizes)), n)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + low[owner]
     doc, tie, first = (t[k].to_numpy()[owner] for k in ("doc", "tie", "first"))
     return text, begin[owner] + within, doc, tie, first + within
 
 
-def _factors(limit: int):
+def _factors(limit: int, gram_limit: int):
+    def solved(held: list[pa.Table], offsets: tuple[int, int] = (0, GRAMS)) -> pa.RecordBatch:
+        text, at, doc, tie, start = _windows(pa.concat_tables(held), offsets)
+        rank = np.empty(len(at), np.int64)
+        rank[np.lexsort((start, tie, doc))] = np.arange(len(at))
+        hit = np.flatnonzero(longest_previous_factors(text, at, rank) >= LENGTH)
+        hit = hit[np.lexsort((start[hit], tie[hit], doc[hit]))]
+        d, t, s = doc[hit], tie[hit], start[hit]
+        new = np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + 1)])[: len(hit)]
+        first = np.flatnonzero(new)
+        last = np.concatenate([first[1:], [len(hit)]])[: len(first)] - 1
+        return _found(d[first], t[first], s[first], s[last] + LENGTH)
+
+    def strings(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        for k in range(0, group.num_rows, 500):
+            text, at, doc, tie, start = _windows(group.slice(k, 500))
+            raw = text.tobytes()
+            yield _found(doc, tie, start, start + LENGTH, [raw[a : a + LENGTH] for a in at.tolist()])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Stretches of repeated strings, a suffix array for some whole grams at a time; contexts of a gram that has more
-        than ``limit`` come out as their strings, to be dealt anew. Batches are sorted by gram."""
-
-        def solved(held: list[pa.Table]) -> pa.RecordBatch:
-            text, at, doc, tie, start = _windows(pa.concat_tables(held))
-            rank = np.empty(len(at), np.int64)
-            rank[np.lexsort((start, tie, doc))] = np.arange(len(at))
-            hit = np.flatnonzero(longest_previous_factors(text, at, rank) >= LENGTH)
-            hit = hit[np.lexsort((start[hit], tie[hit], doc[hit]))]
-            d, t, s = doc[hit], tie[hit], start[hit]
-            new = np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + 1)])[: len(hit)]
-            first = np.flatnonzero(new)
-            last = np.concatenate([first[1:], [len(hit)]])[: len(first)] - 1
-            return _found(d[first], t[first], s[first], s[last] + LENGTH)
-
-        def strings(group: pa.Table) -> Iterator[pa.RecordBatch]:
-            for k in range(0, group.num_rows, 500):
-                text, at, doc, tie, start = _windows(group.slice(k, 500))
-                raw = text.tobytes()
-                yield _found(doc, tie, start, start + LENGTH, [raw[a : a + LENGTH] for a in at.tolist()])
-
-        held, rows = [], 0
-        group, over, now = [], False, None
-
-        def closed() -> None:
+        """Stretches of repeated strings, a suffix array for some whole grams at a time. Strings at unequal offsets from an
+        anchor are never equal, so a gram of many contexts takes one for some offsets at a time. Contexts of a gram that has
+        more than ``gram_limit`` come out as their strings, to be dealt anew. Batches are sorted by gram."""
+        held: list[pa.Table] = []
+        group: list[pa.Table] = []
+        rows, size, now = 0, 0, None
+
+        def closed() -> Iterator[pa.RecordBatch]:
             nonlocal rows
-            n = sum(g.num_rows for g in group)
-            if n > 1:
-                held.append(pa.concat_tables(group))
-                rows += n
+            if size > gram_limit:
+                for g in group:
+                    yield from strings(g)
+            elif size > limit:
+                step = max(1, limit * GRAMS // (2 * size))
+                for low in range(0, GRAMS, step):
+                    yield solved(group, (low, low + step))
+            elif size > 1:
+                held.extend(group)
+                rows += size
 
         for batch in batches:
             if not batch.num_rows:
@@ -322,37 +333,32 @@ def _factors(limit: int):
             cuts = [0, *(np.flatnonzero(gram[1:] != gram[:-1]) + 1).tolist(), len(gram)]
             for a, b in zip(cuts, cuts[1:]):
                 if gram[a] != now:
-                    if over:
-                        for g in group:
-                            yield from strings(g)
-                    else:
-                        closed()
-                    group, over, now = [], False, gram[a]
+                    yield from closed()
+                    group, size, now = [], 0, gram[a]
                     if rows > limit // 2:
                         yield solved(held)
                         held, rows = [], 0
+                size += b - a
                 group.append(pa.Table.from_batches([batch.slice(a, b - a)]))
-                if over or sum(g.num_rows for g in group) > limit:
-                    over = True
+                if size > gram_limit:
                     for g in group:
                         yield from strings(g)
                     group = []
-        if not over:
-            closed()
+        yield from closed()
         if held:
             yield solved(held)
 
     return run
 
 
-def repeated(docs: DataFrame, limit: int = CONTEXT_LIMIT) -> DataFrame:
+def repeated(docs: DataFrame, limit: int = CONTEXT_LIMIT, gram_limit: int = GRAM_LIMIT) -> DataFrame:
     """(doc, tie, start, end): stretches of each text covered by strings of LENGTH bytes that also start earlier."""
     judged = anchored(docs).withColumn("deal", F.when(F.col("known"), F.xxhash64("doc", "spot")).otherwise(F.col("gram")))
     judged = judged.repartition("deal").sortWithinPartitions("gram", "context", "doc", "tie", "spot").drop("deal")
     judged = cut(judged.mapInArrow(_judge, JUDGED))
     leads = judged.where("several").mapInArrow(_identities, "own long")
     met = contexts(docs, bitmap_of(leads, "own")).repartition("gram").sortWithinPartitions("gram", "doc", "tie", "first")
-    found = cut(met.mapInArrow(_factors(limit), FOUND))
+    found = cut(met.mapInArrow(_factors(limit, gram_limit), FOUND))
     split = found.where("bytes is not null")
     later = judged.where("not several").select("doc", "tie", *_spot_columns())
     out = later.unionByName(found.where("bytes is null").drop("bytes"))
@@ -393,7 +399,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*(pa.array(v, t) for v, t in zip(zip(*rows), types)), pa.array(kept_texts, pa.string())], names=names)
 
 
-def remove_repeats(docs: DataFrame, limit: int = CONTEXT_LIMIT) -> DataFrame:
+def remove_repeats(docs: DataFrame, limit: int = CONTEXT_LIMIT, gram_limit: int = GRAM_LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of each row; text is what is left (a character that lost
     some of its bytes is replaced there; the digest is of the bytes).
 
@@ -405,7 +411,7 @@ def remove_repeats(docs: DataFrame, limit: int = CONTEXT_LIMIT) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"),
         F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tie"), F.col("text").cast("string").alias("text"),
     )
-    stretches = repeated(own.select("doc", "tie", "text"), limit).groupBy("doc", "tie").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    stretches = repeated(own.select("doc", "tie", "text"), limit, gram_limit).groupBy("doc", "tie").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     joined = own.join(stretches, ["doc", "tie"], "left").select("doc_id", "text", "starts", "ends")
     return joined.mapInArrow(_apply, RESULT)
 

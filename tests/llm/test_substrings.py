@@ -26,8 +26,8 @@ def slow(rows):
     return out
 
 
-@pytest.mark.parametrize("limit", [s.CONTEXT_LIMIT, 3])
-def test_against_brute_force(spark, limit, monkeypatch):
+@pytest.mark.parametrize("limits", [(s.CONTEXT_LIMIT, s.GRAM_LIMIT), (3, 1000), (2, 3)])
+def test_against_brute_force(spark, limits):
     rng = np.random.default_rng(8)
     word = lambda n: "".join(rng.choice(list("abé d"), n))
     shared = [word(n) for n in (99, 100, 101, 130, 400, 60, 250)]
@@ -43,7 +43,7 @@ def test_against_brute_force(spark, limit, monkeypatch):
     rows += [(300 + i, rows[9][1][:150] + word(5) + rows[9][1][150:]) for i in range(8)]
     rows += [(7, rows[7][1]), (400, word(3000) + shared[4] + word(2000))]
     docs = spark.createDataFrame([(*r, 0, "") for r in rows], "doc_id long, text string, tie int, bytes string").repartition(5)
-    got = s.remove_repeats(docs, limit).collect()
+    got = s.remove_repeats(docs, *limits).collect()
     ties = {(r.doc_id, r.text): r.tie for r in docs.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) as tie").collect()}
     want = slow([(d, t, ties[d, t]) for d, t in rows])
     assert len(got) == len(rows)
@@ -51,7 +51,7 @@ def test_against_brute_force(spark, limit, monkeypatch):
     assert s.remove_repeats(docs.limit(0)).count() == 0
 
 
-def test_chunks_of_long_texts(spark, monkeypatch):
+def test_anchors_cover_each_string_once():
     rng = np.random.default_rng(1)
     long = "".join(rng.choice(list("abcdef"), 3000))
     data = long.encode()
