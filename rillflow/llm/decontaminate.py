@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +32,12 @@ class TestSuffixes:
     def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         self.window = window
-        windows: dict[int, dict[tuple[int, ...], list[int | None]]] = {}
+        windows: dict[int, dict[tuple[int, ...], list[tuple[int | None, int]]]] = {}
         for item_id, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             size = min(window, len(ids))
             for at in range(len(ids) - size + 1) if size else ():
-                owners = windows.setdefault(size, {}).setdefault(tuple(ids[at : at + size]), [])
-                if item_id not in owners:
-                    owners.append(item_id)
+                windows.setdefault(size, {}).setdefault(tuple(ids[at : at + size]), []).append((item_id, at))
         self.sizes = sorted(windows)
         self.keys = {n: np.array(list(w), ">u4").reshape(-1, n) for n, w in windows.items()}
         self.owners = {n: list(w.values()) for n, w in windows.items()}
@@ -51,8 +48,8 @@ def _as_bytes(rows: np.ndarray) -> np.ndarray:
     return rows.view(f"S{rows.dtype.itemsize * rows.shape[1]}").ravel()
 
 
-def shard_matches(ids: np.ndarray, tests: TestSuffixes) -> Iterator[tuple[int, int, list[int | None]]]:
-    """(position, size, item ids) of each window occurrence in a shard; 0 in ``ids`` ends a document or is a foreign word.
+def shard_matches(ids: np.ndarray, tests: TestSuffixes) -> Iterator[tuple[int, int, list[tuple[int | None, int]]]]:
+    """(position, size, [(item id, word of the item)]) of each window occurrence in a shard; 0 in ``ids`` ends a document or is a foreign word.
 
     The shard's suffix array is built over the first ``window`` words, and only over suffixes that can match: those
     whose words are all the benchmark's for as long as its shortest window. Each test suffix is then searched by bisection.
@@ -107,7 +104,25 @@ def _shards(batches: Iterator[pa.RecordBatch], tests: TestSuffixes) -> Iterator[
         yield done()
 
 
-HITS = "key string, doc_id long, n_words long, hits array<int>, items array<string>"
+HITS = "key string, doc_id long, n_words long, hits array<int>, items array<string>, matches array<struct<item_id:string,doc_word:int,item_word:int,n_words:int>>"
+_MATCH = pa.struct([("item_id", pa.string()), *[(n, pa.int32()) for n in ("doc_word", "item_word", "n_words")]])
+
+
+def longest(found: set[tuple[str, int, int]], size: dict[str, int]) -> list[dict]:
+    """Of window occurrences (item, word of the document, word of the item): the longest verbatim match of each item.
+
+    Occurrences on one diagonal whose document words follow each other are one longer match; ties go to the first place.
+    """
+    best: dict[str, tuple[int, int, int]] = {}
+    start, before = None, None
+    for item, gap, word in sorted((i, d - w, d) for i, d, w in found):
+        if before != (item, gap, word - 1):
+            start = word
+        before = (item, gap, word)
+        n = word - start + size[item]
+        if item not in best or (-n, start) < (-best[item][2], best[item][0]):
+            best[item] = (start, start - gap, n)
+    return [dict(zip(("item_id", "doc_word", "item_word", "n_words"), (i, *b))) for i, b in sorted(best.items())]
 
 
 def _hits(docs: DataFrame, tests: TestSuffixes) -> DataFrame:
@@ -117,18 +132,23 @@ def _hits(docs: DataFrame, tests: TestSuffixes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, counts, starts, ids in _shards(batches, sent.value):
             spans: dict[int, list[tuple[int, int]]] = {}
-            items: dict[int, set[str]] = {}
+            met: dict[int, set[tuple[str, int, int]]] = {}
+            sizes: dict[str, int] = {}
             found = list(shard_matches(ids, sent.value))
             owners = np.searchsorted(starts, [p for p, _, _ in found], "right") - 1
             for d, (position, size, own) in zip(owners.tolist(), found):
                 spans.setdefault(d, []).append((position - int(starts[d]), position - int(starts[d]) + size))
-                items.setdefault(d, set()).update(str(i) for i in own if i is not None)
+                named = [(str(i), w) for i, w in own if i is not None]
+                sizes.update((i, size) for i, _ in named)
+                met.setdefault(d, set()).update((i, position - int(starts[d]), w) for i, w in named)
+            matches = [longest(met.get(d, set()), sizes) for d in range(len(rows))]
             yield pa.record_batch({
                 "key": pa.array([k for k, _ in rows], pa.string()),
                 "doc_id": pa.array([i for _, i in rows], pa.int64()),
                 "n_words": pa.array(counts, pa.int64()),
                 "hits": pa.array([merged(spans.get(d, ())) for d in range(len(rows))], pa.list_(pa.int32())),
-                "items": pa.array([sorted(items.get(d, ())) for d in range(len(rows))], pa.list_(pa.string())),
+                "items": pa.array([[m["item_id"] for m in own] for own in matches], pa.list_(pa.string())),
+                "matches": pa.array(matches, pa.list_(_MATCH)),
             })
 
     return docs.select(row_key().alias("key"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, HITS)
@@ -156,7 +176,8 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[TestSuffixes]:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(key, doc_id, n_words, hits, items) for each document row: hit word runs and the items whose windows occur.
+    """(key, doc_id, n_words, hits, items, matches) for each document row: hit word runs, the items whose windows occur,
+    and the longest verbatim match of each with its places in the document and in the item.
 
     A benchmark beyond ``block_bytes`` is searched block by block, each against all documents. Null texts have no
     words; an item without an id makes hits but isn't named; an item without words has no window.
@@ -176,6 +197,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYT
     # Equal rows have equal hits: one row of each key, and as many as there are of it.
     every = every.groupBy("key", "doc_id", "n_words").agg(
         F.collect_list("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("matches")))).alias("matches"),
         (F.count("*") / len(parts)).cast("int").alias("times"),
     )
     every = every.mapInArrow(merge, HITS + ", times int")
@@ -183,12 +205,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYT
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, doc_word, n_words): for each document and item it meets, its longest run of hit words and where
-    it starts; a general report beside the contract's digest."""
-    met = overlaps(docs, benchmark).where("size(items) > 0")
-    runs = met.select("doc_id", "items", F.explode(F.expr("transform(sequence(0, size(hits) div 2 - 1), k -> struct(hits[2 * k + 1] - hits[2 * k] as n, hits[2 * k] as at))")).alias("run"))
-    best = runs.groupBy("doc_id", "items").agg(F.max_by("run", F.struct("run.n", -F.col("run.at"))).alias("run"))
-    return best.select("doc_id", F.explode("items").cast("long").alias("item_id"), F.col("run.at").alias("doc_word"), F.col("run.n").alias("n_words"))
+    """(doc_id, item_id, doc_word, item_word, n_words): each document's longest verbatim match with each item it meets."""
+    return overlaps(docs, benchmark).select("doc_id", F.inline("matches")).withColumn("item_id", F.col("item_id").cast("long"))
 
 
 def judged(found: DataFrame) -> DataFrame:

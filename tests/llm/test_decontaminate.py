@@ -48,3 +48,34 @@ def test_against_brute_force(spark):
     assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((w[0] for w in want if not w[-1]), key=str)
     assert d.overlaps(docs.limit(0), bench).count() == 0
     assert d.judged(d.overlaps(docs, bench.limit(0))).where("contaminated").count() == 0
+
+
+def slow_longest(ws, iw):
+    best = (0, 0, 0)
+    for i in range(len(ws)):
+        for j in range(len(iw)):
+            n = 0
+            while i + n < len(ws) and j + n < len(iw) and ws[i + n] == iw[j + n]:
+                n += 1
+            if n > best[2]:
+                best = (i, j, n)
+    return best
+
+
+def test_longest_matches(spark):
+    rng = np.random.default_rng(6)
+    items = [(i, " ".join(f"{i}v{k}" for k in range(30))) for i in range(4)]
+    rows = []
+    for k in range(25):
+        own = items[rng.integers(4)][1].split()
+        a, n = rng.integers(0, 10), rng.integers(10, 21)
+        rows.append((k, " ".join(["pad"] * rng.integers(0, 9) + own[a : a + n] + ["pad"] + own[: rng.integers(5, 25)])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, d.longest_matches(docs, bench).collect()))
+    want = []
+    for doc_id, text in rows:
+        for item_id, t in items:
+            i, j, n = slow_longest(words(text), words(t))
+            if n >= 13:
+                want.append((doc_id, item_id, i, j, n))
+    assert got == sorted(want)
