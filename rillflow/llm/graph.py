@@ -86,19 +86,20 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.
 def link_lists(index: DataFrame, max_distance: int, verify: Verify | None = None, limit: int = LIST_LIMIT) -> DataFrame:
     """Links (a, b) that connect all members of posting lists that are within ``max_distance`` bits.
 
-    ``index`` has key (long), id, bits (long) and, with ``verify``, item. Ids of one list differ. A task holds one list,
+    ``index`` has key (long), bits (long), id (where it isn't the bits) and, with ``verify``, item. Ids of one list differ. A task holds one list,
     of ``limit`` members at most; a longer one is dealt out anew as pairs of chunks, so no link is lost and no list
     meets in one task.
     """
-    kind = dict(index.dtypes)["id"]
+    own = "id" if "id" in index.columns else "bits"
+    kind = dict(index.dtypes)[own]
     schema = f"a {kind}, b {kind}, key long, bits long" + (", item string" if verify else "")
     columns = schema.replace(",", "").split()[::2]
 
     def rows(a: list, b: list, like: pa.Schema, deferred: pa.Table | None = None) -> Iterator[pa.RecordBatch]:
-        id_type = like.field("id").type
+        id_type = like.field(own).type
         if deferred is not None:
             n = deferred.num_rows
-            arrays = {"a": deferred["id"], "b": pa.nulls(n, id_type), "key": deferred["key"], "bits": deferred["bits"]}
+            arrays = {"a": deferred[own], "b": pa.nulls(n, id_type), "key": deferred["key"], "bits": deferred["bits"]}
             if verify:
                 arrays["item"] = deferred["item"]
         else:
@@ -115,7 +116,7 @@ def link_lists(index: DataFrame, max_distance: int, verify: Verify | None = None
             if over:
                 yield from rows([], [], like, group)
                 continue
-            ids = group["id"].to_pylist()
+            ids = group[own].to_pylist()
             links = spanning_links(group["bits"].to_numpy().view(np.uint64), max_distance, group["item"].to_pylist() if verify else None, verify)
             a += [ids[i] for i, _ in links]
             b += [ids[j] for _, j in links]
@@ -127,22 +128,23 @@ def link_lists(index: DataFrame, max_distance: int, verify: Verify | None = None
 
     first = cut(index.repartition("key").sortWithinPartitions("key").mapInArrow(small, schema))
     links = first.where("key is null").select("a", "b")
-    hot = first.where("key is not null").drop("b").withColumnRenamed("a", "id")
+    hot = first.where("key is not null").drop("b")
+    hot = hot.drop("a") if own == "bits" else hot.withColumnRenamed("a", "id")
     if hot.isEmpty():
         return links
     sizes = hot.groupBy("key").agg(F.ceil(F.count("*") / F.lit(limit // 2)).cast("int").alias("chunks"))
-    dealt = hot.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
+    dealt = hot.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64(own), "chunks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     dealt = dealt.withColumn("key", F.xxhash64("key", low, high)).withColumn("far", (F.col("own") > F.col("other")).cast("int"))
 
     def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, _ in _groups(batches, 1 << 62):
-            ids = group["id"].to_pylist()
+            ids = group[own].to_pylist()
             links = spanning_links(group["bits"].to_numpy().view(np.uint64), max_distance, group["item"].to_pylist() if verify else None, verify)
             yield from rows([ids[i] for i, _ in links], [ids[j] for _, j in links], group.schema)
 
-    more = dealt.select("key", "id", "bits", *(["item"] if verify else [])).repartition("key").sortWithinPartitions("key")
+    more = dealt.select("key", *dict.fromkeys((own, "bits")), *(["item"] if verify else [])).repartition("key").sortWithinPartitions("key")
     return links.unionByName(more.mapInArrow(large, schema).select("a", "b"))
 
 

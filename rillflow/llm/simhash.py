@@ -85,7 +85,7 @@ def simhash_components(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> Dat
         F.lit(k).cast("long") * (1 << 24) + byte(a) * 65536 + byte(b) * 256 + byte(c)
         for k, (a, b, c) in enumerate(covering_positions())
     ])
-    index = classes.select(F.explode(keys).alias("key"), F.col("bits").alias("id"), "bits")
+    index = classes.select(F.explode(keys).alias("key"), "bits")
     rooted = components(link_lists(index, max_distance))
     named = cut(classes.join(rooted, F.col("bits") == F.col("node"), "left").select("bits", "first_id", F.coalesce("root", "bits").alias("root")))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))

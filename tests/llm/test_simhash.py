@@ -77,7 +77,7 @@ def test_long_lists_lose_no_link(spark):
     bits = sorted({int(b) for b in rng.integers(0, 1 << 9, 300)})
     index = spark.createDataFrame([(k, b, b) for b in bits for k in (1, 2)], "key long, id long, bits long")
     for limit in (7, 10_000):
-        found = graph.components(graph.link_lists(index, 1, limit=limit)).collect()
+        found = graph.components(graph.link_lists(index.drop("id") if limit == 7 else index, 1, limit=limit)).collect()
         adjacent = {b: [c for c in bits if (b ^ c).bit_count() <= 1] for b in bits}
         root = {}
         for b in bits:
