@@ -28,8 +28,8 @@ GENERATORS = [
     (2, re.compile(r"(?<![0-9A-Za-z])[0-9](?:[\x20._/-]{0,2}[0-9]){12,18}(?![0-9A-Za-z])")),
     (3, re.compile(r"(?<![0-9A-Za-z])(?:\+|00|\()?[0-9](?:[\x20().\x2F-]{0,3}[0-9]){6,14}(?![0-9A-Za-z])")),
 ]
-#: A cheap test that a text can hold any candidate at all.
-_ANY = re.compile(r"@|[0-9]|(?i:[\[({ ]at[\])} ].{1,70}?dot)")
+#: A cheap test that a text can hold any candidate at all: each generator needs one of these.
+_ANY = re.compile(r"@|[0-9]|(?i:[\[({ ]at[\])} ])")
 _CONTEXT = re.compile(r"\b(?:e-?mail|mail|contact|tel|phone|call|fax|mobile|cell|card|visa|credit|iban|ip|host|addr|address|server)\b", re.I)
 _CODE = re.compile(r"(?:version|ver|id|no|isbn|token|key|order|ref|build|sha|hash)[\x20:=#.]*$", re.I)
 #: Training candidates of each kind and label at most, chosen by a hash; trees and their depth; precision to calibrate to.
