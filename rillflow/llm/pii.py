@@ -33,6 +33,8 @@ _ANY = re.compile(r"@|[0-9]|(?i:[\[({ ]at[\])} ])")
 _CONTEXT = re.compile(r"\b(?:e-?mail|mail|contact|tel|phone|call|fax|mobile|cell|card|visa|credit|iban|ip|host|addr|address|server)\b", re.I)
 _CODE = re.compile(r"(?:version|ver|id|no|isbn|token|key|order|ref|build|sha|hash)[\x20:=#.]*$", re.I)
 #: Training candidates of each kind and label at most, chosen by a hash; trees and their depth; precision to calibrate to.
+#: One of FOLDS parts by hash is held out; its scores are counted in BINS, a power of two so that bin edges are exact.
+FOLDS, BINS = 3, 1024
 SAMPLE, TREES, DEPTH, PRECISION = 2000, 20, 4, 0.97
 
 
@@ -131,35 +133,43 @@ def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def trained(candidates: DataFrame, sample: int = SAMPLE) -> tuple[GBTClassificationModel | None, dict[int, float]]:
-    """Boosted trees and the threshold of each kind, from at most ``sample`` candidates of each kind, origin and label.
+    """Boosted trees, from at most ``sample`` candidates of each kind, origin and label, and the threshold of each kind.
 
-    Labels come from the strict rules (distant supervision). A third of the sample is not learned from: on it, the
-    threshold of a kind is the least score from which on PRECISION of its candidates are right; a kind that never gets
-    there adds nothing.
+    Labels come from the strict rules (distant supervision). A part of all candidates, by a hash of their place, is not
+    learned from: all of it is scored, so the mix of labels is that of the data at any size (a disguised copy counts
+    once for its span), and the threshold of a kind is the least score bin from which on PRECISION of its candidates are
+    right; a kind that never gets there adds nothing.
     """
+    folded = candidates.withColumn("fold", F.pmod(F.xxhash64("key", "start"), F.lit(FOLDS)))
     order = [F.xxhash64("key", "start", "kind", "made"), F.col("key"), F.col("start")]
     parts = [
-        candidates.where(f"kind = {k} and made = {made} and label = {label}").orderBy(*order).limit(sample)
+        folded.where(f"fold <> 0 and kind = {k} and made = {made} and label = {label}").orderBy(*order).limit(sample)
         for k in range(len(KINDS)) for made, label in ((0, 0), (0, 1), (1, 1))
     ]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.union(part)
-    rows = cut(rows.select("kind", "label", "x", F.pmod(F.xxhash64("key", "start"), F.lit(3)).alias("fold")).coalesce(2))
-    learn = rows.where("fold <> 0").select(array_to_vector(F.col("x").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label"))
+    rows = cut(rows.select("label", "x").coalesce(2))
+    learn = rows.select(array_to_vector(F.col("x").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label"))
     if learn.select("label").distinct().count() < 2:
         return None, {}
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=11, maxBins=64, stepSize=0.2, cacheNodeIds=False).fit(learn)
-    judged = _probabilities(rows.where("fold = 0"), model).select("kind", "label", "p").toArrow().to_pydict()
-    kind, label, p = (np.array(judged[c]) for c in ("kind", "label", "p"))
+    return model, thresholds(_probabilities(folded.where("fold = 0").select("kind", "label", "x"), model))
+
+
+def thresholds(scored: DataFrame) -> dict[int, float]:
+    """The threshold of each kind from all rows of ``scored`` (kind, label, p); only counts of bins reach the driver."""
+    score_bin = F.floor(F.col("p") * BINS).cast("int")
+    counts = scored.groupBy("kind", score_bin.alias("bin")).agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("right")).toArrow().to_pydict()
+    kind, at, n, right = (np.array(counts[c], np.int64) for c in ("kind", "bin", "n", "right"))
     limits = {}
     for k in range(len(KINDS)):
-        order_ = np.argsort(-p[kind == k], kind="stable")
-        right = label[kind == k][order_].cumsum() / np.arange(1, (kind == k).sum() + 1)
-        good = np.flatnonzero(right >= PRECISION)
+        own = np.flatnonzero(kind == k)
+        own = own[np.argsort(-at[own])]
+        good = np.flatnonzero(right[own].cumsum() >= PRECISION * n[own].cumsum())
         if len(good):
-            limits[k] = max(0.5, float(p[kind == k][order_][good[-1]]))
-    return model, limits
+            limits[k] = max(0.5, float(at[own][good[-1]]) / BINS)
+    return limits
 
 
 def _probabilities(rows: DataFrame, model: GBTClassificationModel) -> DataFrame:
