@@ -23,8 +23,10 @@ PIECE = 512
 BLOCK_WINDOWS = 256
 #: Words whose ids a worker keeps; the store is emptied when full.
 KEPT_WORDS = 1_000_000
-# Python splits at these too, the tokenizer does not (or special tokens need its own reading): such texts go to it whole.
+# Python splits at these too, the tokenizer does not; "<|" may begin a special token: such texts go to it whole.
 _ODD = re.compile("[\x1c-\x1f\u180e\u200b\ufeff]|<\\|")
+#: A special token of the tokenizer; between words that have no "<|" it parts their ids.
+MARK = "<|endoftext|>"
 _WORDS: dict[str, dict[str, bytes]] = {}
 _LOADED: dict[str, object] = {}
 
@@ -41,7 +43,6 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         _LOADED[path] = Tokenizer.from_file(path)
-        _LOADED[path].encode_special_tokens = True  # their strings in a text are ordinary text
         _WORDS[path] = {}
     return _LOADED[path]
 
@@ -53,34 +54,30 @@ def plain_form(word: str) -> tuple[str, str]:
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit numbers.
+    """The ids of each text as little-endian unsigned 32-bit numbers: those of the tokenizer's plain call without added
+    special tokens, so that a special token's string in a text is that token.
 
-    The tokenizer never joins characters across white space, so each word of the batch is encoded once.
+    The tokenizer never joins characters across white space, so each unknown word of the texts is encoded once, all in
+    one call with a special token between them.
     """
     tokenizer = _tokenizer(path)
     if len(_WORDS[path]) > KEPT_WORDS:
         _WORDS[path] = {}
     known = _WORDS[path]
 
-    def whole(parts: list[str]) -> Iterator[bytes]:
-        for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False):
-            yield np.array(e.ids, "<u4").tobytes()
-
-    out = []
-    for text in texts:
-        if _ODD.search(text):
-            out += whole([text])
-            continue
-        words = text.split()
-        try:
-            out.append(b"".join([known[w] for w in words]))
-        except KeyError:
-            new = {w: plain_form(w) for w in set(words).difference(known)}
-            forms = list({f for pair in new.values() for f in pair}.difference(known))
-            known.update(zip(forms, whole(forms)))
-            known.update((w, known[base] + known[tail]) for w, (base, tail) in new.items())
-            out.append(b"".join([known[w] for w in words]))
-    return out
+    def raw(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    words = [None if _ODD.search(text) else text.split() for text in texts]
+    new = {w: plain_form(w) for w in set().union(*filter(None, words)).difference(known)}
+    forms = list({f for pair in new.values() for f in pair}.difference(known))
+    if forms:
+        ids = raw(MARK.join(forms))
+        ends = (4 * np.flatnonzero(ids == tokenizer.token_to_id(MARK))).tolist()
+        flat = ids.tobytes()
+        known.update(zip(forms, [flat[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(flat)])]))
+        known.update((w, known[base] + known[tail]) for w, (base, tail) in new.items())
+    return [raw(text).tobytes() if own is None else b"".join(map(known.__getitem__, own)) for text, own in zip(texts, words)]
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
@@ -202,4 +199,5 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, piece:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() of documents; nulls, repeated rows and an empty table as there."""
     return pack(table(spark, sf_dir, "documents"))

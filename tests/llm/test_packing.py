@@ -1,4 +1,5 @@
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from hypothesis import given, settings
@@ -9,16 +10,19 @@ from rillflow.llm import packing
 PATH = packing.tokenizer_path()
 
 
-def ids_of(text):
+@lru_cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [1]
+    return Tokenizer.from_file(PATH)
+
+
+def ids_of(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [1]
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(max_size=30) | st.sampled_from(["It's 12 o'clock", "a\x1cb", "<|endoftext|> x", "E\u0301 \u0301x", "Σας ΣΑΣ", "\u00a0\u2003 tab\t"]), max_size=4))
+@given(st.lists(st.text(max_size=30) | st.sampled_from(["It's 12 o'clock", "a\x1cb", "<|endoftext|> x", "<|startoftext|>y<|endoftext|>", "a<|b <|endoftext|", "|", "E\u0301 \u0301x", "Σας ΣΑΣ", "\u00a0\u2003 tab\t"]), max_size=4))
 def test_words_encode_as_whole_texts(texts):
     for text, got in zip(texts, packing.encode(texts, PATH)):
         assert np.frombuffer(got, "<u4").tolist() == ids_of(text)[:-1]
