@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Bits of the membership bitmap: 8 MB whatever the input; a full one only lets more rows through.
 BITMAP_BITS = 1 << 26
 _OWN_DIRS: dict[str, str] = {}
+#: Folders that cut() wrote and nothing has deleted yet, oldest first.
+_WRITTEN: dict[str, None] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one where that is unset and Spark runs on this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="spark-")
@@ -36,16 +40,34 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rillflow-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN[path] = None
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
-def drop_cut(df: DataFrame) -> None:
+def drop_cut(*cuts: DataFrame) -> None:
     """Delete what ``cut`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for df in cuts:
+        _delete(df.sparkSession, df._cut_path)
+
+
+def written() -> list[str]:
+    """The folders of ``cut`` that are left."""
+    return list(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, keep: list[str]) -> None:
+    """Delete the folders of ``cut`` that aren't in ``keep``, once nothing reads them any more."""
+    for path in written():
+        if path not in keep:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _WRITTEN.pop(path, None)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def by_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -59,6 +81,12 @@ def by_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
+def free_name(*frames: DataFrame) -> str:
+    """A column name that none of ``frames`` has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    return next(name for n in range(len(taken) + 1) if (name := f"_own{n}") not in taken)
+
+
 def row_key() -> F.Column:
     """A key for (doc_id, text) that is never null: equal rows share it, so results found by key can be joined back."""
     return F.md5(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x02")), F.coalesce("text", F.lit("\x03"))))
