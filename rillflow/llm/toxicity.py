@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table
+from .common import free_name, table
 
 #: Labelled documents of each label that are learned from at most; which ones is decided by a hash of their ids.
 SAMPLE = {1: 1500, 0: 2500}
@@ -22,6 +22,8 @@ LANDMARKS, ROUNDS = 240, 3
 SPAN, DECAY = 5, 0.6
 #: A longer unit is read in overlapping windows of so many characters.
 UNIT = 24
+#: Windows of a clean unit that a round learns from at most.
+CLEAN_WINDOWS = 8
 FOLDS = 5
 #: Words whose scores a worker keeps; the store is emptied when full.
 KEPT_WORDS = 400_000
@@ -115,19 +117,23 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
 
-    def unit_scores(self, units: list[str]) -> np.ndarray:
-        windows, owner = [], []
-        for i, u in enumerate(units):
-            own = _windows(u)
-            windows += own
-            owner += [i] * len(own)
-        out = np.full(len(units), -np.inf)
+    def window_scores(self, windows: list[str]) -> np.ndarray:
+        out = np.zeros(len(windows))
         for at in range(0, len(windows), 4000):
             some = windows[at : at + 4000]
             total = np.zeros(len(some))
             for row, code, weight in _subsequences(some):
                 total += weight * np.bincount(row, self.weights[code], len(some))
-            np.maximum.at(out, owner[at : at + 4000], total / _norms(some) + self.bias)
+            out[at : at + 4000] = total / _norms(some) + self.bias
+        return out
+
+    def unit_scores(self, units: list[str]) -> np.ndarray:
+        """The greatest score of each unit's windows."""
+        out = np.full(len(units), -np.inf)
+        for at in range(0, len(units), 4000):
+            each = [_windows(u) for u in units[at : at + 4000]]
+            owner = np.repeat(np.arange(at, at + len(each)), [len(own) for own in each])
+            np.maximum.at(out, owner, self.window_scores([w for own in each for w in own]))
         return out
 
     def probability(self, top: np.ndarray) -> np.ndarray:
@@ -151,14 +157,15 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -
     return w[:-1], float(w[-1])
 
 
-def _initial(units: list[str], docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Log odds of the best piece of four to six characters of each unit, by documents of either label that have it."""
+def _pieces(text: str) -> set[str]:
+    return {text[i : i + n] for n in (4, 5, 6) for i in range(max(1, len(text) - n + 1))}
+
+
+def _initial(units: list[str], docs: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, dict[str, float]]:
+    """Log odds of the best piece of four to six characters of each unit, by documents of either label that have it, and
+    those of all pieces."""
     grams: dict[str, int] = {}
-    of_unit = []
-    for u in units:
-        marked = f"<{u}>"[: 4 * UNIT]
-        own = {marked[i : i + n] for n in (4, 5, 6) for i in range(max(1, len(marked) - n + 1))}
-        of_unit.append(np.array([grams.setdefault(g, len(grams)) for g in own]))
+    of_unit = [np.array([grams.setdefault(g, len(grams)) for g in _pieces(f"<{u}>")]) for u in units]
     seen = np.zeros((2, len(grams)))
     for own, label in zip(docs, labels):
         if len(own):
@@ -166,37 +173,49 @@ def _initial(units: list[str], docs: list[np.ndarray], labels: np.ndarray) -> np
     n = np.bincount(labels, minlength=2)
     odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
     odds[seen[1] < 2] = -1
-    return np.array([odds[own].max() for own in of_unit])
+    return np.array([odds[own].max() for own in of_unit]), dict(zip(grams, odds.tolist()))
 
 
-def train(texts: list[str], labels: list[int], seed: int = 17) -> Model | None:
+def train(texts: Iterable[str], labels: Iterable[int], seed: int = 17) -> Model | None:
     """Learn units from labelled texts: a toxic text holds at least one toxic unit, the others hold none.
 
-    Rounds choose each toxic text's best unit and each clean text's most mistaken ones, and fit the machine to them; a
-    quarter of the texts is kept for the calibration. None without texts of both labels.
+    Rounds choose each toxic text's best unit and each clean text's most mistaken ones, and fit the machine to them: to
+    the likeliest window of a toxic unit and to CLEAN_WINDOWS of a clean one at most. A quarter of the texts is kept for the
+    calibration. None without texts of both labels. Texts are read once, one at a time; labels after them.
     """
-    y = np.array(labels, int)
-    if len(set(labels)) < 2:
-        return None
-    rng = np.random.default_rng(seed)
     at: dict[str, int] = {}
     docs = []
     for text in texts:
         found = {unit_of(w) for w in set(text.split())} | {unit_of(w) for w in spaced_units(text)}
         docs.append(np.array(sorted(at.setdefault(u, len(at)) for u in found if u), int))
+    y = np.array(list(labels), int)
+    if len(set(y.tolist())) < 2:
+        return None
+    rng = np.random.default_rng(seed)
     units = list(at)
     held = np.zeros(len(y), bool)
     for label in (0, 1):
         own = rng.permutation(np.flatnonzero(y == label))
         held[own[: len(own) // 4]] = True
     learn = np.flatnonzero(~held)
-    scores = _initial(units, [docs[i] for i in learn], y[learn])
+    scores, odds = _initial(units, [docs[i] for i in learn], y[learn])
     clean = np.unique(np.concatenate([np.empty(0, int), *[docs[i] for i in learn if y[i] == 0]]))
     if not len(clean):
         return None
     is_clean = np.zeros(len(units), bool)
     is_clean[clean] = True
     model, hard = None, np.empty(0, int)
+
+    def few(windows: list[str]) -> list[str]:
+        return windows if len(windows) <= CLEAN_WINDOWS else [windows[i] for i in rng.choice(len(windows), CLEAN_WINDOWS, replace=False)]
+
+    def likeliest(unit: str) -> str:
+        """The window of a toxic unit: by the model so far, at first by the pieces that toxic texts have."""
+        own = _windows(unit)
+        if len(own) == 1:
+            return own[0]
+        return own[int(np.argmax(model.window_scores(own) if model else [max(odds.get(g, -9.0) for g in _pieces(w)) for w in own]))]
+
     for _ in range(ROUNDS):
         odd = np.where(is_clean, -np.inf, scores)
         witness = Counter()
@@ -211,15 +230,17 @@ def train(texts: list[str], labels: list[int], seed: int = 17) -> Model | None:
         hard = np.unique(np.concatenate([hard, *worst]))
         bad = np.unique(np.concatenate([hard, rng.choice(clean, min(len(clean), 6000), replace=False)]))
         some = [u for u, _ in witness.most_common(LANDMARKS * 2 // 3)]
-        marks = [_windows(units[i])[0] for i in [*some, *rng.choice(bad, min(len(bad), LANDMARKS - len(some)), replace=False)]]
-        windows = [_windows(units[i])[0] for i in [*good, *bad]]
+        clean_windows = list(dict.fromkeys(w for i in bad for w in few(_windows(units[i]))))
+        marks = [likeliest(units[i]) for i in some]
+        marks += [clean_windows[i] for i in rng.choice(len(clean_windows), min(len(clean_windows), LANDMARKS - len(some)), replace=False)]
+        windows = [likeliest(units[i]) for i in good] + clean_windows
         kernel = kernel_with(marks, marks)
         values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
         keep = values > 1e-6 * values.max()
         whiten = vectors[:, keep] / np.sqrt(values[keep])
-        target = np.array([1.0] * len(good) + [-1.0] * len(bad))
-        weight = np.concatenate([[witness[i] for i in good], np.ones(len(bad))]).astype(float)
-        weight[: len(good)] *= 0.3 * len(bad) / weight[: len(good)].sum()
+        target = np.array([1.0] * len(good) + [-1.0] * len(clean_windows))
+        weight = np.concatenate([[witness[i] for i in good], np.ones(len(clean_windows))]).astype(float)
+        weight[: len(good)] *= 0.3 * len(clean_windows) / weight[: len(good)].sum()
         w, bias = _svm(kernel_with(windows, marks) @ whiten, target, weight)
         alpha = (whiten @ w) / _norms(marks)
         table_ = np.zeros(_CODES)
@@ -253,29 +274,52 @@ def fold(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS, F.lit(0))
 
 
+FITTED = "weights binary, bias double, slope double, shift double"
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the model of the texts of one part, if it has texts of both labels."""
+    labels: list[int] = []
+
+    def texts() -> Iterator[str]:
+        for batch in batches:
+            labels.extend(batch.column("toxic").to_pylist())
+            for text in batch.column("text"):
+                yield text.as_py() or ""
+
+    model = train(texts(), labels)
+    if model is not None:
+        yield pa.record_batch({"weights": pa.array([model.weights.tobytes()]), **{k: pa.array([getattr(model, k)], pa.float64()) for k in ("bias", "slope", "shift")}})
+
+
 def learned(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> Model | None:
-    """A model of at most ``sample`` labelled documents of each label that are not held out."""
+    """A model of at most ``sample`` labelled documents of each label that are not held out.
+
+    The sample, one text of each of its ids, is read by one task, which keeps its words; the driver gets the weights.
+    Labels other than 0 and 1 and null ids are left out; an id with both labels is toxic.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold() != 0))
-    by = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("toxic")]
+    known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    by = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*by).limit(sample[1]).union(known.where("toxic = 0").orderBy(*by).limit(sample[0]))
-    one = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(one), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return train([t or "" for t in rows["text"].to_pylist()], rows["toxic"].to_pylist())
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    fitted = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_fit, FITTED).first()
+    return fitted and Model(np.frombuffer(fitted.weights, float), fitted.bias, fitted.slope, fitted.shift)
 
 
 _SCORES: dict[str, dict[str, float]] = {}
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with __score, of every row and the whole text.
+def scored(docs: DataFrame, model: Model | None, into: str = "__score") -> DataFrame:
+    """``docs`` with the column ``into``, of every row and the whole text.
 
     A document scores as its most toxic unit. Null and empty texts get the score of no unit; without a model all score 0.
     """
     names = docs.columns
+    assert into not in names
     if model is None:
-        return docs.withColumn("__score", F.lit(0.0))
+        return docs.withColumn(into, F.lit(0.0))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = names.index("text")
     tag = f"{id(model)}-{np.random.default_rng().integers(1 << 62)}"
@@ -307,19 +351,24 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
                     if own:
                         top[start + i] = max(map(known.__getitem__, own))
             score = model.probability(top)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, into])
 
-    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(into, DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose score is 0.5 or more; all columns stay."""
-    kept = scored(docs.select("*"), learned(docs, labels)).where("__score < 0.5")
-    return kept.drop("__score")
+    """``docs`` without the documents whose score is 0.5 or more; all columns stay, whatever their names.
+
+    Null and empty texts stay, repeated rows are judged alike, an empty table gives none.
+    """
+    into = free_name(docs)
+    return scored(docs, learned(docs, labels), into).where(F.col(into) < 0.5).drop(into)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of each row of documents; null and empty texts get the score of no unit, rows
+    without an id are held out, repeated rows score alike, an empty table gives none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scored(docs, learned(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", (fold() == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
