@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, table
+from .common import free_name, row_key, table
 
 WINDOW = 13
 #: Words of a shard whose suffixes are sorted together, and bytes of benchmark text that are broadcast at once.
@@ -180,7 +180,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYT
     and the longest verbatim match of each with its places in the document and in the item.
 
     A benchmark beyond ``block_bytes`` is searched block by block, each against all documents. Null texts have no
-    words; an item without an id makes hits but isn't named; an item without words has no window.
+    words; an item without an id makes hits but isn't named; an item without words has no window. Repeated document rows
+    each return; of repeated item ids all texts count; an empty table of documents gives no row.
     """
     parts = [_hits(docs, tests) for tests in _blocks(benchmark, block_bytes)]
     if len(parts) == 1:
@@ -205,7 +206,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYT
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, doc_word, item_word, n_words): each document's longest verbatim match with each item it meets."""
+    """(doc_id, item_id, doc_word, item_word, n_words): each document's longest verbatim match with each item it meets.
+
+    Null and empty texts meet none, items without an id aren't listed, repeated rows each return their matches.
+    """
     return overlaps(docs, benchmark).select("doc_id", F.inline("matches")).withColumn("item_id", F.col("item_id").cast("long"))
 
 
@@ -218,13 +222,19 @@ def judged(found: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated rows, all columns kept."""
-    bad = judged(overlaps(docs, benchmark)).where("contaminated").select(F.col("key").alias("__bad")).distinct()
-    keyed = docs.withColumn("__key", row_key())
-    return keyed.join(bad, keyed["__key"] == bad["__bad"], "left_anti").drop("__key")
+    """``docs`` without the contaminated rows, all columns kept, whatever their names.
+
+    Null and empty texts have no words and stay; repeated rows are judged alike; an empty table of either kind removes
+    nothing.
+    """
+    own = free_name(docs)
+    bad = judged(overlaps(docs, benchmark)).where("contaminated").select(F.col("key").alias(own)).distinct()
+    return docs.withColumn(own, row_key()).join(bad, own, "left_anti").drop(own)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each row of documents; nulls, repeated rows and
+    empty tables as in overlaps."""
     return judged(overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("key")
 
 
