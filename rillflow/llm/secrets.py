@@ -20,11 +20,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ of 24 and more
 # Weak parts. None is reported alone.
-IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account(?:_?id)?|access_?(?:key_?)?id|tenant(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,128})""", re.I | re.A)
-CREDENTIAL = re.compile(r"""\b(?:pwd|passphrase|pass|auth|credentials?|signature|private_?key|access_?key|key|pin)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=~!@#$%^&*-]{6,256})""", re.I | re.A)
+IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account(?:_?id)?|access_?(?:key_?)?id|tenant(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.I | re.A)
+CREDENTIAL = re.compile(r"""\b(?:pwd|passphrase|pass|auth|credentials?|signature|private_?key|access_?key|key|pin)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=~!@#$%^&*-]{6,})""", re.I | re.A)
 OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
-ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+.-]{1,15}://[^\s"'<>|]{3,2000}|(?:host(?:name)?|endpoint|server|bucket|region)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/-]{3,256})""", re.I | re.A)
-#: Parts link when they start at most so many code points apart in one scope (a run of lines without a blank one).
+ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+.-]{1,15}://[^\s"'<>|]{3,}|(?:host(?:name)?|endpoint|server|bucket|region)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/-]{3,})""", re.I | re.A)
+#: Parts link with at most so many code points between them in one scope (a run of lines without a blank one).
 REACH = 300
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 # Roles of a part.
@@ -92,13 +92,15 @@ def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
     """(key, span) of the weak parts that complementary parts confirm.
 
     ``parts``: key, scope, role, start, kind, end. An interval join on cells of ``reach`` code points pairs each secret
-    with the identifiers and endpoints of its scope that start within reach. A weak identifier or endpoint is confirmed
-    by any secret, a weak secret by an identifier or an endpoint. A cell holds few parts, since parts of a role do not overlap.
+    with the identifiers and endpoints of its scope that have at most ``reach`` code points between them; a part is in
+    each cell that it covers, and others reach a cell further on both sides. A weak identifier or endpoint is confirmed
+    by any secret, a weak secret by an identifier or an endpoint. A cell holds few parts, since parts of a role do not
+    overlap.
     """
-    cell = F.floor(F.col("start") / reach).cast("int")
-    secrets = parts.where(f"role = {SECRET}").select("key", "scope", cell.alias("cell"), *[F.col(c).alias(f"s_{c}") for c in ("start", "kind", "end")])
-    others = parts.where(f"role <> {SECRET}").withColumn("cell", F.explode(F.sequence(cell - 1, cell + 1)))
-    pairs = others.join(secrets, ["key", "scope", "cell"]).where(f"abs(start - s_start) <= {reach}")
+    cells = lambda low, high: F.explode(F.sequence(F.floor(low / reach).cast("int"), F.floor(high / reach).cast("int")))
+    secrets = parts.where(f"role = {SECRET}").select("key", "scope", cells(F.col("start"), F.col("end")).alias("cell"), *[F.col(c).alias(f"s_{c}") for c in ("start", "kind", "end")])
+    others = parts.where(f"role <> {SECRET}").withColumn("cell", cells(F.col("start") - reach, F.col("end") + reach))
+    pairs = others.join(secrets, ["key", "scope", "cell"]).where(f"greatest(start, s_start) - least(end, s_end) <= {reach}")
     both = pairs.select("key", F.explode(F.array(F.struct("start", "kind", "end"), F.struct(F.col("s_start").alias("start"), F.col("s_kind").alias("kind"), F.col("s_end").alias("end")))).alias("span"))
     return both.where("span.kind >= 3").distinct()
 
@@ -122,4 +124,5 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan_secrets of documents; an empty table gives none."""
     return scan_secrets(table(spark, sf_dir, "documents"))

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+from rillflow.llm import secrets
 from rillflow.llm.secrets import scan_secrets
 
 KINDS = ["assign", "access", "hex"]
@@ -45,3 +46,32 @@ def test_weak_parts_need_each_other(spark):
     assert linked[4] == f"identifier:0:13,credential:{len(alone) + 1}:{len(together)}"
     assert linked[5] == f"endpoint:0:21,credential:22:{len(place)}"
     assert scan_secrets(docs.limit(0)).count() == 0
+
+
+def test_links_match_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    parts = []
+    for key in ("a", "b", "c"):
+        for scope in range(4):
+            at = 0
+            for _ in range(int(rng.integers(0, 14))):
+                at += int(rng.integers(1, 500))
+                end = at + int(rng.choice([5, 30, 900]))
+                role = int(rng.integers(3))
+                parts.append((key, scope, role, at, {0: int(rng.choice([1, 3])), 1: int(rng.choice([0, 4])), 2: 5}[role], end))
+                at = end
+    want = set()
+    for k, s, r, a, kind, b in parts:
+        for k2, s2, r2, x, kind2, y in parts:
+            if (k, s) == (k2, s2) and (r == 1) != (r2 == 1) and max(a, x) - min(b, y) <= 300 and kind >= 3:
+                want.add((k, a, kind, b))
+    df = spark.createDataFrame(parts, "key string, scope int, role int, start int, kind int, end int")
+    got = {(r.key, r.span.start, r.span.kind, r.span.end) for r in secrets.link_parts(df).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_values_run_to_their_end():
+    text = "user=jane pwd=" + "k" * 600 + "9"
+    assert any(k == 4 and b == len(text) for _, _, _, k, b in secrets.parts_of(text, secrets.base_spans(text)))
