@@ -15,15 +15,16 @@ from .common import by_batches, cut, row_key, table
 from .spans import ARROW_SPAN, SPAN, Taken, base_digest, spans_text
 
 KINDS = ["email", "ip", "card", "phone"]
-# Fixed patterns of the contract.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# Fixed patterns of the contract. An e-mail address is what _LOCAL and _DOMAIN have on either side of an @; an IP starts
+# where its digits start, as the pattern without that finds the same and takes the square of a long run's length.
+_LOCAL, _DOMAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"), re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-# High-recall generators: written-out and broken forms of the same kinds.
+# High-recall generators (a local part has 64 characters at most and a label 63, by the standard): written-out and broken forms of the same kinds.
 _AT, _DOT = r"(?:@|\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?)", r"(?:\.|\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?)"
 GENERATORS = [
-    (0, re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,5}}", re.I)),
+    (0, re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}})+", re.I)),
     (1, re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\)|\x20dot\x20)[0-9]{1,3}){3}(?![0-9])")),
     (2, re.compile(r"(?<![0-9A-Za-z])[0-9](?:[\x20._/-]{0,2}[0-9]){12,18}(?![0-9A-Za-z])")),
     (3, re.compile(r"(?<![0-9A-Za-z])(?:\+|00|\()?[0-9](?:[\x20().\x2F-]{0,3}[0-9]){6,14}(?![0-9A-Za-z])")),
@@ -45,9 +46,23 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost, non-overlapping addresses in time linear in the text: from each @ back to where its local part starts."""
+    out, end, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at and (m := _DOMAIN.match(text, at + 1)):
+            end = m.end()
+            out.append((start, end))
+        at = text.find("@", max(at + 1, end))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end), leftmost and non-overlapping for each kind; failing matches are dropped, without retries."""
-    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)] if "@" in text else []
+    out = [(a, 0, b) for a, b in emails(text)]
     out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0")[:3] or "0") <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -224,4 +239,5 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_pii of documents; an empty table gives none."""
     return find_pii(table(spark, sf_dir, "documents"))

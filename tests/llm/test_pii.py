@@ -45,3 +45,18 @@ def test_learned_forms(spark):
     assert got[5000].spans.startswith("email:9:") and got[5001].spans == ""
     assert sum(got[1000 + i].n_added for i in range(300)) <= 6
     assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+def test_addresses_as_the_plain_pattern_finds_them():
+    plain = pii.re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    rng = pii.np.random.default_rng(6)
+    for _ in range(3000):
+        text = "".join(rng.choice(list("ab.@-_ é1"), 24))
+        assert pii.emails(text) == [m.span() for m in plain.finditer(text)]
+        ip = "".join(rng.choice(list("12. "), 24))
+        assert [m.span() for m in pii.IP.finditer(ip)] == [m.span() for m in pii.re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", ip)]
+
+
+def test_very_long_runs_end_in_time():
+    for text in ("7" * 1_000_000, "a" * 1_000_000 + "@", "a" * 500_000 + "@b", "1." * 300_000, "+1" + " " * 500_000):
+        pii.candidates_of(text, pii.base_spans(text))
