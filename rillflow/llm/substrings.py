@@ -17,8 +17,8 @@ from .common import bitmap_of, cut, in_bitmap, table
 LENGTH, GRAM = 100, 24
 #: Grams of a string of LENGTH bytes: the least of them is its anchor.
 GRAMS = LENGTH - GRAM + 1
-#: Bytes of text that are hashed together; its positions must fit PLACE_BITS.
-CHUNK, PLACE_BITS = 1 << 19, 40
+#: Bytes of text that are hashed together.
+CHUNK = 1 << 19
 #: Contexts that a task sorts at once (a gram with more is sorted an offset from its anchor at a time), and contexts of
 #: one gram that a task holds; still more are dealt anew by their strings.
 CONTEXT_LIMIT, GRAM_LIMIT = 4000, 100_000
@@ -130,10 +130,11 @@ def anchored(docs: DataFrame) -> DataFrame:
             spot = _spot(at - begin, first - begin, last - begin)
             order = np.lexsort((spot, tie, doc, context, gram))
             g, c = gram[order], context[order]
-            new = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            o = order[lead]
-            known = (doc[order] != doc[o]) | (tie[order] != tie[o]) | (spot[order] != spot[o])  # an equal row isn't earlier
+            same = np.concatenate([[False], (g[1:] == g[:-1]) & (c[1:] == c[:-1])])
+            # Places rise within a context; equal ones (rows that repeat) share a rank, so that neither is earlier.
+            place = np.stack([doc[order], tie[order], spot[order]], 1)
+            rank = np.concatenate([[0], np.cumsum(~same[1:] | (place[1:] != place[:-1]).any(1))])
+            known = previous_factors(np.where(same, LENGTH, 0), rank) >= LENGTH
             yield pa.record_batch({
                 "gram": _signed(g), "context": _signed(c), "doc": pa.array(doc[order]), "tie": pa.array(tie[order]),
                 "spot": pa.array(spot[order]), "known": pa.array(known),
@@ -165,7 +166,11 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = new_gram | np.concatenate([[context is None or c[0] != context], c[1:] != c[:-1]])
             own = np.cumsum(new)
             leads = np.concatenate([[lead if lead is not None else (0, 0, 0)], place[new]])[own]
-            later = ~new & (place != leads).any(1)
+            # The first of a context that an earlier batch began stands before this batch's rows, in suffix order too.
+            every_place = np.concatenate([leads[:1], place])
+            same = np.concatenate([[False], ~new])
+            rank = np.concatenate([[0], np.cumsum(~same[1:] | (every_place[1:] != every_place[:-1]).any(1))])
+            later = previous_factors(np.where(same, LENGTH, 0), rank)[1:] >= LENGTH
             run = np.cumsum(new_gram)  # 0: the gram carried over
             count = np.bincount(run, new, run[-1] + 1)
             if run[0] == 0:
@@ -216,45 +221,47 @@ def contexts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, CONTEXTS)
 
 
-def longest_previous_factors(text: np.ndarray, starts: np.ndarray, rank: np.ndarray, limit: int = LENGTH) -> np.ndarray:
-    """For the suffixes of ``text`` at ``starts``: the longest prefix, up to ``limit`` bytes, that a suffix of smaller rank
-    shares with it.
+def previous_factors(common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The longest prefix that each entry of a suffix order shares with one of smaller rank.
 
-    The suffixes are sorted by their first ``limit`` bytes, equal ones by rank. The nearest suffix of smaller rank on
-    either side in that order (previous and next smaller value) gives the longest match with an earlier one.
+    ``common``: the prefix that an entry shares with the one before it. On either side the nearest entry of smaller rank
+    (previous and next smaller value) is found by jumps: what lies between an entry and its candidate ranks no less, so a
+    candidate that isn't smaller hands over its own.
     """
+    n = len(rank)
+    out = np.zeros(n, np.int64)
+    for side in (1, -1):
+        r = rank[::side]
+        reach = np.zeros(n, np.int64)
+        reach[1:] = common[1:] if side == 1 else common[:0:-1]
+        to = np.arange(-1, n - 1)
+        todo = np.flatnonzero((to >= 0) & (reach > 0))
+        while len(todo):
+            at = to[todo]
+            todo = todo[r[at] >= r[todo]]
+            if len(todo):
+                at = to[todo]
+                reach[todo], to[todo] = np.minimum(reach[todo], reach[at]), to[at]
+                todo = todo[(to[todo] >= 0) & (reach[todo] > 0)]
+        reach[to < 0] = 0
+        out = np.maximum(out, reach[::side])
+    return out
+
+
+def longest_previous_factors(text: np.ndarray, starts: np.ndarray, rank: np.ndarray, limit: int = LENGTH) -> np.ndarray:
+    """For the suffixes of ``text`` at ``starts``: the longest prefix, up to ``limit`` bytes, that a suffix of smaller rank
+    shares with it. The suffixes are sorted by their first ``limit`` bytes, equal ones by rank."""
     if not len(starts):
         return np.zeros(0, np.int64)
     rows = text[starts[:, None] + np.arange(limit)[None, :]]
     keys = np.concatenate([rows, rank.astype(">u8").view(np.uint8).reshape(-1, 8)], axis=1)
     order = np.argsort(np.ascontiguousarray(keys).view(f"S{limit + 8}").ravel(), kind="stable")
-    rows, ranks, n = rows[order], rank[order], len(order)
+    rows, n = rows[order], len(order)
     differ = rows[1:] != rows[:-1]
-    common = np.where(differ.any(1), differ.argmax(1), limit)
-    out = np.zeros(n, np.int64)
-    # Suffixes equal in all bytes are in order of rank: the one before is the previous smaller value and no match is longer.
-    whole = np.concatenate([[False], common == limit])
-    out[whole] = limit
-    for step in (1, -1):
-        stack: list[tuple[int, int]] = []
-        heads = np.flatnonzero(~whole)[::step].tolist()
-        edge = {i: int(common[i - 1]) for i in heads if i}
-        last_head = None
-        for i in heads:
-            if last_head is None:
-                reach = 0
-            else:
-                reach = edge.get(i, 0) if step == 1 else edge.get(last_head, 0)
-            own = int(ranks[i])
-            while stack and stack[-1][0] > own:
-                reach = min(reach, stack.pop()[1])
-            if stack:
-                out[i] = max(out[i], reach)
-            stack.append((own, reach))
-            last_head = i
-    back = np.empty(n, np.int64)
-    back[order] = out
-    return back
+    common = np.concatenate([[0], np.where(differ.any(1), differ.argmax(1), limit)])
+    out = np.empty(n, np.int64)
+    out[order] = previous_factors(common, rank[order])
+    return out
 
 
 FOUND = "doc long, tie long, start long, end long, bytes binary"
@@ -417,4 +424,5 @@ def remove_repeats(docs: DataFrame, limit: int = CONTEXT_LIMIT, gram_limit: int
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of documents; nulls, repeated rows and an empty table as in remove_repeats."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("text")
