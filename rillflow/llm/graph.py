@@ -13,28 +13,45 @@ from .common import cut, drop_cut
 
 #: Members of one posting list that a task links at once; a longer list goes through pairs of chunks.
 LIST_LIMIT = 20_000
+#: Nodes whose links a task joins into stars at once.
+CONTRACTED = 500_000
 
-Verify = Callable[[object, object], bool]
+#: Whether the first item links with each of the others.
+Verify = Callable[[object, list], list[bool]]
+#: A distance, or the distance of each key of an array.
+Distance = int | Callable[[np.ndarray], np.ndarray]
 
 
-def spanning_links(bits: np.ndarray, max_distance: int, items: list | None = None, verify: Verify | None = None, left: int | None = None) -> list[tuple[int, int]]:
+def shared_bytes(differing: np.ndarray) -> np.ndarray:
+    """Of each 64-bit difference: how many of its eight byte positions are equal on both sides."""
+    return (np.ascontiguousarray(differing).view(np.uint8).reshape(-1, 8) == 0).sum(1)
+
+
+def spanning_links(
+    bits: np.ndarray, max_distance: int, items: list | None = None, verify: Verify | None = None, least_shared: int = 0, side: np.ndarray | None = None
+) -> list[tuple[int, int]]:
     """Links that connect what all links of a list connect: breadth first, each found member leaves the search.
 
-    Members link at ``max_distance`` or fewer differing bits and, if given, where ``verify`` holds for their items.
-    ``left``: only links between the first ``left`` members and the others are sought (others are linked elsewhere).
+    Of each pair that meets, the equal byte positions are tallied; a pair with fewer than ``least_shared`` goes. Then
+    members link at ``max_distance`` or fewer differing bits and, if given, where ``verify`` holds for their items.
+    ``side``: only links between members of unequal sides are sought (others are linked elsewhere).
     """
-    n, out = len(bits), []
-    side = np.zeros(n, bool) if left is None else np.arange(n) >= left
-    rest = np.arange(n)
+    out = []
+    rest = np.arange(len(bits))
     while len(rest) > 1:
         frontier, rest = [int(rest[0])], rest[1:]
         while frontier and len(rest):
             at = frontier.pop()
-            near = np.bitwise_count(bits[rest] ^ bits[at]) <= max_distance
-            if left is not None:
+            differing = bits[rest] ^ bits[at]
+            if least_shared:
+                near = shared_bytes(differing) >= least_shared
+                near[near] = np.bitwise_count(differing[near]) <= max_distance
+            else:
+                near = np.bitwise_count(differing) <= max_distance
+            if side is not None:
                 near &= side[rest] != side[at]
             if verify is not None and near.any():
-                near[near] = [verify(items[at], items[i]) for i in rest[near]]
+                near[near] = verify(items[at], [items[i] for i in rest[near]])
             found = rest[near].tolist()
             out += [(at, i) for i in found]
             frontier += found
@@ -42,7 +59,11 @@ def spanning_links(bits: np.ndarray, max_distance: int, items: list | None = Non
     return out
 
 
-def _likely(batches: Iterator[pa.RecordBatch], max_distance: int) -> Iterator[pa.RecordBatch]:
+def _at(distance: Distance, keys: np.ndarray) -> np.ndarray:
+    return distance(keys) if callable(distance) else np.full(len(keys), distance)
+
+
+def _likely(batches: Iterator[pa.RecordBatch], max_distance: Distance) -> Iterator[pa.RecordBatch]:
     """Sorted batches without most rows that can't link: keys met once, and pairs that are too far apart."""
     for batch in batches:
         n = batch.num_rows
@@ -53,7 +74,7 @@ def _likely(batches: Iterator[pa.RecordBatch], max_distance: int) -> Iterator[pa
         sizes = np.diff(np.append(starts, n))
         drop = sizes == 1
         two = np.flatnonzero(sizes == 2)
-        drop[two] = np.bitwise_count(bits[starts[two]] ^ bits[starts[two] + 1]) > max_distance
+        drop[two] = np.bitwise_count(bits[starts[two]] ^ bits[starts[two] + 1]) > _at(max_distance, keys[starts[two]])
         drop[[0, -1]] = False  # these may go on in another batch
         keep = np.repeat(~drop, sizes)
         yield batch if keep.all() else batch.filter(pa.array(keep))
@@ -83,12 +104,13 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.
         yield pa.Table.from_batches(held), over
 
 
-def link_lists(index: DataFrame, max_distance: int, verify: Verify | None = None, limit: int = LIST_LIMIT) -> DataFrame:
+def link_lists(index: DataFrame, max_distance: Distance, verify: Verify | None = None, limit: int = LIST_LIMIT, least_shared: int = 0) -> DataFrame:
     """Links (a, b) that connect all members of posting lists that are within ``max_distance`` bits.
 
     ``index`` has key (long), bits (long), id (where it isn't the bits) and, with ``verify``, item. Ids of one list differ. A task holds one list,
     of ``limit`` members at most; a longer one is dealt out anew as pairs of chunks, so no link is lost and no list
-    meets in one task.
+    meets in one task; in a pair of unlike chunks only links across are sought. ``least_shared`` is the count filter of
+    ``spanning_links``.
     """
     own = "id" if "id" in index.columns else "bits"
     kind = dict(index.dtypes)[own]
@@ -117,7 +139,7 @@ def link_lists(index: DataFrame, max_distance: int, verify: Verify | None = None
                 yield from rows([], [], like, group)
                 continue
             ids = group[own].to_pylist()
-            links = spanning_links(group["bits"].to_numpy().view(np.uint64), max_distance, group["item"].to_pylist() if verify else None, verify)
+            links = spanning_links(group["bits"].to_numpy().view(np.uint64), int(_at(max_distance, group["key"][:1].to_numpy())[0]), group["item"].to_pylist() if verify else None, verify, least_shared)
             a += [ids[i] for i, _ in links]
             b += [ids[j] for _, j in links]
             if len(a) > 50_000:
@@ -136,37 +158,63 @@ def link_lists(index: DataFrame, max_distance: int, verify: Verify | None = None
     dealt = hot.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64(own), "chunks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    dealt = dealt.withColumn("key", F.xxhash64("key", low, high)).withColumn("far", (F.col("own") > F.col("other")).cast("int"))
+    dealt = dealt.withColumn("side", F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))).withColumn("pair", F.xxhash64("key", low, high))
 
     def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, _ in _groups(batches, 1 << 62):
             ids = group[own].to_pylist()
-            links = spanning_links(group["bits"].to_numpy().view(np.uint64), max_distance, group["item"].to_pylist() if verify else None, verify)
+            side = group["side"].to_numpy()
+            side = None if (side < 0).any() else side
+            links = spanning_links(group["bits"].to_numpy().view(np.uint64), int(_at(max_distance, group["list"][:1].to_numpy())[0]), group["item"].to_pylist() if verify else None, verify, least_shared, side)
             yield from rows([ids[i] for i, _ in links], [ids[j] for _, j in links], group.schema)
 
-    more = dealt.select("key", *dict.fromkeys((own, "bits")), *(["item"] if verify else [])).repartition("key").sortWithinPartitions("key")
+    more = dealt.select(F.col("pair").alias("key"), F.col("key").alias("list"), "side", *dict.fromkeys((own, "bits")), *(["item"] if verify else [])).repartition("key").sortWithinPartitions("key")
     return links.unionByName(more.mapInArrow(large, schema).select("a", "b"))
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of a part, some at a time, as stars of their smallest member: what they connect stays connected."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    def stars() -> pa.RecordBatch:
+        pairs = [(x, root(x)) for x in list(parent)]
+        own = [(x, r) for x, r in pairs if x != r]
+        return pa.record_batch({"a": pa.array([x for x, _ in own], pa.int64()), "b": pa.array([r for _, r in own], pa.int64())})
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+        if len(parent) > CONTRACTED:
+            yield stars()
+            parent.clear()
+    if parent:
+        yield stars()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of all linked nodes but the roots; root is the smallest node of the component.
+    """(node, root) of all linked nodes (a, b, as longs) but the roots; root is the smallest node of the component.
 
-    Alternating large and small stars; each round ends in the shared folder. Rounds grow with the logarithm of the
-    longest chain.
+    Each task first makes stars of the links it holds. Then every node points to its least neighbour, its other
+    neighbours are linked to that one, and all pointers skip a node; the rounds grow with the logarithm of the longest
+    chain. Each round ends in the shared folder. It is the last when no node has two neighbours below and none that is
+    pointed to points on.
     """
-    now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    now = cut(links.where("a <> b").mapInArrow(_contracted, "a long, b long").distinct())
     while True:
-        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        root = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(root, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(root.select("a", F.col("m").alias("b"))).distinct()
-        after = cut(small)
+        seen = now.select(F.col("a").alias("node"), "b").union(now.select(F.col("b").alias("node"), F.lit(None).cast("long")))
+        open_ = seen.groupBy("node").agg(F.min("b").alias("least"), F.max("b").alias("most"), F.count_if(F.col("b").isNull()).alias("below"))
+        if open_.where("least <> most or least is not null and below > 0").isEmpty():
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        least = now.groupBy("a").agg(F.min("b").alias("m"))
+        met = now.join(least, "a")
+        pairs = met.select("a", F.col("m").alias("b")).union(met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        skipped = pairs.join(least.select(F.col("a").alias("b"), F.col("m").alias("next")), "b", "left").select("a", F.coalesce("next", "b").alias("b"))
+        after = cut(skipped.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
         drop_cut(now)
         now = after
-        sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if sums == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = sums

@@ -71,10 +71,10 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
 def simhash_components(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(key, doc_id, bits, root, component_id): the smallest doc_id reachable over links of ``max_distance`` or fewer bits.
 
-    Two fingerprints of at most 4 differing bits share at least 4 of their 8 byte positions, so counting shared
-    positional bytes keeps every link. The inverted index is keyed by position triples that any four shared positions
-    must contain, which makes the count at least three by construction; the verification then compares whole
-    fingerprints. Equal fingerprints are one class, so copies are never paired. Null texts count as empty; rows with
+    Two fingerprints of at most 4 differing bits share at least 4 of their 8 byte positions, the guaranteed minimum.
+    Posting lists of single positional bytes hold 1/256 of the table each, so the inverted index is keyed by position
+    triples that any four shared positions must contain. Of each pair that meets in a list the shared positional bytes
+    are tallied; only a pair that reaches the minimum is verified by its differing bits. Equal fingerprints are one class, so copies are never paired. Null texts count as empty; rows with
     null doc_id keep a row and never name a component; repeated rows each return; an empty table returns none.
     """
     assert max_distance <= MAX_DISTANCE
@@ -86,7 +86,7 @@ def simhash_components(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> Dat
         for k, (a, b, c) in enumerate(covering_positions())
     ])
     index = classes.select(F.explode(keys).alias("key"), "bits")
-    rooted = components(link_lists(index, max_distance))
+    rooted = components(link_lists(index, max_distance, least_shared=8 - max_distance))
     named = cut(classes.join(rooted, F.col("bits") == F.col("node"), "left").select("bits", "first_id", F.coalesce("root", "bits").alias("root")))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_class = named.join(least, "root").select("bits", "root", "component_id")
@@ -96,15 +96,18 @@ def simhash_components(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> Dat
 def near_dedup(docs: DataFrame) -> DataFrame:
     """Keep one row of each component, with all its columns: that of smallest doc_id (nulls last), then text digest.
 
-    Of rows with equal doc_id and text one stays: that whose other columns come first as text.
+    Of rows with equal doc_id and text one stays: that whose whole row, as text, has the least hash. Null texts count as
+    empty; an empty table gives none; columns may have any names.
     """
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")
-    kept = simhash_components(docs).groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.key").alias("__key"))
-    first = Window.partitionBy("__key").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), *[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")])
-    held = docs.withColumn("__key", row_key()).join(kept, "__key", "left_semi")
-    return held.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = simhash_components(docs).groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.key").alias("key"))
+    # A struct holds the row, so that no column's name can clash with key.
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key().alias("key")).join(kept, "key", "left_semi")
+    first = Window.partitionBy("key").orderBy(F.xxhash64(F.col("row").cast("string")))
+    return held.withColumn("place", F.row_number().over(first)).where("place = 1").select("row.*")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of each row of documents; nulls, repeated rows and an empty table as in simhash_components."""
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")

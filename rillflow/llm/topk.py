@@ -167,6 +167,7 @@ def exact_top(vectors: DataFrame, every: int = EVERY, k: int = TOP) -> DataFrame
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact_top of embeddings; nulls, repeated ids and an empty table as there."""
     return exact_top(table(spark, sf_dir, "embeddings"))
 
 

@@ -72,6 +72,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of each row of pages; a null url has an empty host and path, repeated rows each return, an empty table gives none."""
     return judge(table(spark, sf_dir, "pages"))
 
 
