@@ -197,16 +197,19 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, together: int = CONTRACTED // 2) -> DataFrame:
     """(node, root) of all linked nodes (a, b, as longs) but the roots; root is the smallest node of the component.
 
-    Each task first makes stars of the links it holds. Then every node points to its least neighbour, its other
+    Each task first makes stars of the links it holds. At most ``together`` of these are joined in one task, which then
+    holds all their nodes. More of them go through rounds, until they are as few: every node points to its least neighbour, its other
     neighbours are linked to that one, and all pointers skip a node; the rounds grow with the logarithm of the longest
     chain. Each round ends in the shared folder. It is the last when no node has two neighbours below and none that is
-    pointed to points on.
+    pointed to points on. A null node isn't linked; repeated links count once; no links give no rows.
     """
     now = cut(links.where("a <> b").mapInArrow(_contracted, "a long, b long").distinct())
     while True:
+        if now.count() <= together:
+            return cut(now.coalesce(1).mapInArrow(_contracted, "a long, b long")).select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now.select(F.col("a").alias("node"), "b").union(now.select(F.col("b").alias("node"), F.lit(None).cast("long")))
         open_ = seen.groupBy("node").agg(F.min("b").alias("least"), F.max("b").alias("most"), F.count_if(F.col("b").isNull()).alias("below"))
         if open_.where("least <> most or least is not null and below > 0").isEmpty():

@@ -76,8 +76,8 @@ def test_long_lists_lose_no_link(spark):
     rng = np.random.default_rng(2)
     bits = sorted({int(b) for b in rng.integers(0, 1 << 9, 300)})
     index = spark.createDataFrame([(k, b, b) for b in bits for k in (1, 2)], "key long, id long, bits long")
-    for limit in (7, 10_000):
-        found = graph.components(graph.link_lists(index.drop("id") if limit == 7 else index, 1, limit=limit)).collect()
+    for limit, together in ((7, 0), (10_000, 10_000)):
+        found = graph.components(graph.link_lists(index.drop("id") if limit == 7 else index, 1, limit=limit), together).collect()
         adjacent = {b: [c for c in bits if (b ^ c).bit_count() <= 1] for b in bits}
         root = {}
         for b in bits:
@@ -94,3 +94,9 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_components(docs).count() == 0
     assert near_dedup(docs).count() == 0
+
+
+def test_any_column_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", 5, "x", "y", "z"), (2, "a b c d e", 6, "x", "y", "z")], "doc_id long, text string, __n int, __key string, key string, row string")
+    (kept,) = near_dedup(docs).collect()
+    assert tuple(kept) == (1, "a b c d e", 5, "x", "y", "z")
