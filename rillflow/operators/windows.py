@@ -53,25 +53,37 @@ def count_window(df: DataFrame, keys: list[str], order_by: list[str], n: int, sl
     return numbered.withColumn("window_no", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))).drop("__rn", "__all")
 
 
-def late_split(df: DataFrame, ts: str, arrival: str, size_s: int, delay_s: int, lateness_s: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(main, late) of rows in arrival order: late ones come when the watermark (greatest time before them less the
-    delay) has passed their window's end and the allowed lateness.
+#: Pieces of the order that a running maximum is taken in.
+PIECES = 1000
+
 
-    The high-water mark runs over all rows in order of arrival; it is taken per minute of arrival first, so that no task
-    sorts the whole table. The part before a minute comes from the minutes' own maxima.
+def high_water(df: DataFrame, value: Column, order_by: str, into: str, own: bool = True) -> DataFrame:
+    """``df`` with the greatest ``value`` of all rows up to its own (or only before it) in the order of a number.
+
+    The order is cut into PIECES of equal width, whatever the table's size. Within a piece a window runs over its rows;
+    what came before it is the running maximum of the pieces' own, so only PIECES rows meet in one task. Rows without
+    an order come first.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    piece = F.floor(F.col(arrival) / 10_000)
-    marked = df.withColumn("__us", micros).withColumn("__piece", piece)
-    tops = marked.groupBy("__piece").agg(F.max("__us").alias("__top"))
+    low, high = df.agg(F.min(order_by).cast("double"), F.max(order_by).cast("double")).first()
+    width = max(1.0, ((high or 0) - (low or 0)) / PIECES)
+    piece = F.coalesce(F.floor((F.col(order_by) - F.lit(low or 0)) / width), F.lit(-1))
+    marked = df.withColumn("__value", value).withColumn("__piece", piece)
+    tops = marked.groupBy("__piece").agg(F.max("__value").alias("__top"))
     before = tops.withColumn("__before", F.max("__top").over(Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1))).drop("__top")
-    within = F.max("__us").over(Window.partitionBy("__piece").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
-    seen = marked.withColumn("__in", within).join(before, "__piece").withColumn("__seen", F.greatest("__in", "__before"))
-    end = (F.floor(F.col("__us") / (size_s * 1_000_000)) + 1) * (size_s * 1_000_000)
+    within = F.max("__value").over(Window.partitionBy("__piece").orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0 if own else -1))
+    seen = marked.withColumn("__in", within).join(before, "__piece").withColumn(into, F.greatest("__in", "__before"))
+    return seen.drop("__value", "__piece", "__in", "__before")
+
+
+def late_split(df: DataFrame, ts: str, arrival: str, size_s: int, delay_s: int, lateness_s: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(main, late) of rows in arrival order: late ones come when the watermark (greatest time before them less the
+    delay) has passed their window's end and the allowed lateness."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    seen = high_water(df, micros, arrival, "__seen", own=False)
+    end = (F.floor(micros / (size_s * 1_000_000)) + 1) * (size_s * 1_000_000)
     late = F.coalesce(end + lateness_s * 1_000_000 <= F.col("__seen") - delay_s * 1_000_000, F.lit(False))
-    tagged = seen.withColumn("__late", late)
-    helper = ["__us", "__piece", "__in", "__before", "__seen", "__late"]
-    return tagged.where("not __late").drop(*helper), tagged.where("__late").drop(*helper)
+    tagged = seen.withColumn("__late", late).drop("__seen")
+    return tagged.where("not __late").drop("__late"), tagged.where("__late").drop("__late")
 
 
 def marker_trigger(df: DataFrame, keys: list[str], ts: str, arrival: str, size: str, is_marker: Column) -> DataFrame:

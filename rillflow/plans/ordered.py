@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import aggs, changelog, sequences
+from ..operators import aggs, changelog, sequences, windows
 from ..session import table
 
 
@@ -78,9 +78,9 @@ def t15_group_window(s, d):
 
 
 def c15_watermark(s, d):
-    """The watermark each row sees: the greatest time of its user so far, less the delay."""
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _events(s, d).select("event_id", (F.max("ts").over(w) - F.expr("interval 10 minutes")).alias("watermark"))
+    """The watermark each row sees: the greatest time of all rows so far, less the delay; one for all keys."""
+    seen = windows.high_water(_events(s, d), F.col("ts"), "event_id", "seen")
+    return seen.select("event_id", (F.col("seen") - F.expr("interval 10 minutes")).alias("watermark"))
 
 
 def u5_whole_rows(s, d):
@@ -101,6 +101,6 @@ QUERIES = {
     "t32_daily_first": (t32_daily_first, "select event_id, user_id, strftime(ts, '%Y-%m-%d') as day from events where event_type = 'view' qualify lag(cast(ts as date)) over (partition by user_id order by event_id) is distinct from cast(ts as date)"),
     "t33_bounce": (t33_bounce, "with e as (select *, lead(event_type) over w as nt, lead(ts) over w as ns from events window w as (partition by user_id order by event_id)) select event_id, user_id from e where event_type = 'view' and (ns is null or nt = 'view' or ns - ts >= interval 2 hour)"),
     "t34_consecutive": (t34_consecutive, "with e as (select *, lead(value, 1) over w as v1, lead(value, 2) over w as v2, lead(ts, 2) over w as t2 from events window w as (partition by user_id order by event_id)) select event_id, user_id from e where value > 10 and v1 > 10 and v2 > 10 and t2 - ts < interval 1 day"),
-    "c15_watermark": (c15_watermark, "select event_id, max(ts) over (partition by user_id order by event_id rows unbounded preceding) - interval 10 minute as watermark from events"),
+    "c15_watermark": (c15_watermark, "select event_id, max(ts) over (order by event_id rows unbounded preceding) - interval 10 minute as watermark from events"),
     "u5_whole_rows": (u5_whole_rows, "select c_nationkey, c_custkey, c_name, cast(row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as integer) as rank from customer qualify rank <= 2"),
 }

@@ -29,12 +29,14 @@ def test_partition_commit_closes_past_hours(spark, tmp_path):
 
 def test_keyed_table_is_repeatable(spark, tmp_path):
     path = str(tmp_path / "k")
-    sink = sinks.keyed_table(path, ["id"], "seq", deleted="gone")
+    sink = sinks.keyed_table(path, ["id"], "seq")
     frame = lambda rows: spark.createDataFrame(rows, "id int, seq int, v string, gone boolean")
     sink(frame([(1, 1, "a", False), (2, 1, "b", False)]), 0)
     for _ in range(2):
         sink(frame([(1, 2, "c", False), (2, 2, None, True)]), 1)
-    assert [tuple(r)[:3] for r in sinks.read_keyed(spark, path, 1).collect()] == [(1, 2, "c")]
+    assert [tuple(r)[:3] for r in sinks.read_keyed(spark, path, 1, "gone").collect()] == [(1, 2, "c")]
+    sink(frame([(2, 1, "old", False)]), 2)  # older than the removal
+    assert [tuple(r)[:3] for r in sinks.read_keyed(spark, path, 2, "gone").collect()] == [(1, 2, "c")]
 
 
 def test_ledger_and_chunks(spark, tmp_path):
