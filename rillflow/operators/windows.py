@@ -86,6 +86,30 @@ def late_split(df: DataFrame, ts: str, arrival: str, size_s: int, delay_s: int,
     return tagged.where("not __late").drop("__late"), tagged.where("__late").drop("__late")
 
 
+def refire(df: DataFrame, keys: list[str], ts: str, arrival: str, size_s: int, delay_s: int, lateness_s: int) -> DataFrame:
+    """What windows that wait for late rows send: a count when the watermark first passes a window's end, and one more
+    for each later row until the watermark passes the end and the allowed lateness; rows after that are dropped.
+
+    The watermark is the greatest time before a row, in the order of arrival, less the delay. It never falls, so a window's
+    late rows all follow the others: these are only counted, and the late ones numbered. Columns: keys, window_end,
+    fired ('on time' or 'late'), arrived (null for the first count), n. ``arrival`` has no ties; rows without a time belong
+    to no window.
+    """
+    size, delay, lateness = size_s * 1_000_000, delay_s * 1_000_000, lateness_s * 1_000_000
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    seen = high_water(df, micros, arrival, "__seen", own=False)
+    marked = seen.withColumn("__end", (F.floor(micros / size) + 1) * size).withColumn("__mark", F.col("__seen") - delay)
+    held = marked.where("__end is not null").where(F.coalesce(F.col("__end") + lateness > F.col("__mark"), F.lit(True)))
+    held = held.select(*keys, F.col(arrival).alias("arrived"), "__end", F.coalesce(F.col("__end") <= F.col("__mark"), F.lit(False)).alias("__late"))
+    first = held.where("not __late").groupBy(*keys, "__end").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys, "__end").orderBy("arrived")
+    late = held.where("__late").withColumn("__k", F.row_number().over(w)).alias("late")
+    both = late.join(first.alias("first"), [F.col(f"late.{c}").eqNullSafe(F.col(f"first.{c}")) for c in (*keys, "__end")], "left")
+    again = both.select(*[F.col(f"late.{c}") for c in (*keys, "__end")], F.lit("late").alias("fired"), "arrived", (F.coalesce("n", F.lit(0)) + F.col("__k")).alias("n"))
+    once = first.select(*keys, "__end", F.lit("on time").alias("fired"), F.lit(None).cast(df.schema[arrival].dataType).alias("arrived"), "n")
+    return once.unionByName(again).withColumn("window_end", F.timestamp_micros("__end")).drop("__end")
+
+
 def marker_trigger(df: DataFrame, keys: list[str], ts: str, arrival: str, size: str, is_marker: Column) -> DataFrame:
     """Counts of the rows that aren't markers in each key's window: one at each marker so far, and one at the end.
 

@@ -59,6 +59,12 @@ def t14_cumulate(s, d):
     return ntz(windows.cumulate(_events(s, d), "ts", 7200, 86400, ["event_type"], [F.count("*").alias("n"), F.count_distinct("user_id").alias("users")]))
 
 
+def t17_refire(s, d):
+    """Hour windows that wait an hour and take late rows for two more; rows arrive up to 97 places late."""
+    e = _events(s, d).withColumn("arrival", (F.col("event_id") + F.col("event_id") * 7919 % 97) * 1_000_000 + F.col("event_id"))
+    return ntz(windows.refire(e, ["event_type"], "ts", "arrival", 3600, 3600, 7200))
+
+
 def t18_late_split(s, d):
     # Arrival order by a hash within the hour, so that some rows come late.
     e = _events(s, d).withColumn("arrival", F.col("event_id") + F.pmod(F.col("event_id") * 7919, F.lit(40)))
@@ -272,6 +278,7 @@ QUERIES = {
     "t12_window_all": (t12_window_all, f"select {_DAY} as window_start, {_DAY} + interval 1 day as window_end, count(*) as n, count(distinct user_id) as users from events group by all"),
     "t14_cumulate": (t14_cumulate, f"with e as (select *, {_DAY} as window_start, unnest(range(epoch_us(ts) // 7200000000 + 1, epoch_us({_DAY}) // 7200000000 + 13)) as k from events) select window_start, make_timestamp(k * 7200000000) as window_end, event_type, count(*) as n, count(distinct user_id) as users from e group by all"),
     "t16_full_window": (t16_full_window, f"select {bucket('ts', 43200)} as window_start, user_id, cast(count(*) as integer) as n, arg_min(event_id, (ts, event_id)) as first_id, arg_max(event_id, (ts, event_id)) as last_id from events group by all"),
+    "t17_refire": (t17_refire, "with a as (select *, (event_id + event_id * 7919 % 97) * 1000000 + event_id as arrived from events), m as (select event_type, arrived, (epoch_us(ts) // 3600000000 + 1) * 3600000000 as e, max(epoch_us(ts)) over (order by arrived rows between unbounded preceding and 1 preceding) - 3600000000 as mark from a), h as (select *, coalesce(e <= mark, false) as late, count(*) over (partition by event_type, e order by arrived) as n from m where coalesce(e + 7200000000 > mark, true)) select event_type, make_timestamp(e) as window_end, 'on time' as fired, null::bigint as arrived, count(*) as n from h where not late group by all union all select event_type, make_timestamp(e), 'late', arrived, n from h where late"),
     "t18_late_split": (t18_late_split, "with a as (select *, (event_id + (event_id * 7919) % 40) * 1000000 + event_id as arrival from events), b as (select *, max(epoch_us(ts)) over (order by arrival rows between unbounded preceding and 1 preceding) as seen from a) select event_id, case when (epoch_us(ts) // 3600000000 + 1) * 3600000000 + 3600000000 <= seen - 1800000000 then 'late' else 'main' end as side from b"),
     "t19_early_fire": (t19_early_fire, f"with e as (select *, {bucket('ts', 21600)} as window_start, unnest(range(epoch_us(ts) // 3600000000 + 1, epoch_us({bucket('ts', 21600)}) // 3600000000 + 6)) as k from events) select window_start, make_timestamp(k * 3600000000) as window_end, user_id, count(*) as n from e group by all"),
     "t20_marker_trigger": (t20_marker, f"with e as (select *, {_DAY} as window_start, sum(case when event_type = 'error' then 0 else 1 end) over (partition by user_id, {_DAY} order by event_id rows unbounded preceding) as run from events) select user_id, window_start, window_start + interval 1 day as window_end, 'marker' as fired, event_id as at, cast(run as bigint) as n from e where event_type = 'error' union all select user_id, window_start, window_start + interval 1 day, 'end', null, count(*) filter (event_type <> 'error') from e group by user_id, window_start"),
