@@ -73,6 +73,42 @@ def t32_stream(s, d):
     return runner.collected(out).drop("batch_no")
 
 
+def t24_stream(s, d):
+    """As t32, by state that a day of the clock without update removes."""
+    views = _stream(s, d).where("event_type = 'view'").select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    out = stateful.apply(views, ["user_id"], stateful.DailyFirst("event_id", 86_400_000), "event_id long, user_id long, day string", time_mode="ProcessingTime")
+    return runner.collected(out, idle=False).drop("batch_no")
+
+
+def t23_stream(s, d):
+    rows = _stream(s, d).select("user_id", "event_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    out = stateful.apply(rows, ["user_id"], stateful.RunningStats("event_id", "event_type", "cents"), "event_id long, n_kind long, top long, mean double")
+    return runner.collected(out).drop("batch_no")
+
+
+def t28_stream(s, d):
+    """Windows by map state and timers; a sentinel row moves the watermark past the last ones."""
+    events = runner.with_sentinel(table(s, d, "events"), "ts", "event_id").fillna(-1, ["user_id"])
+    rows = runner.as_stream(events, "event_id", 3).withWatermark("ts", "10 minutes")
+    rows = rows.select("user_id", "ts", (F.floor(F.unix_millis("ts") / 21_600_000) * 21_600_000).alias("start_ms"))
+    out = stateful.apply(rows, ["user_id"], stateful.MapWindow("start_ms", 21_600_000), "user_id long, window_start_ms long, n long", time_mode="EventTime")
+    return runner.collected(out).where("user_id >= 0").drop("batch_no")
+
+
+def t9_stream(s, d):
+    """Windows of the clock, by each batch's own time. Their bounds change from run to run, so the counts of each kind of
+    window are summed: a row is in one tumbling window, two sliding ones and one session."""
+    rows = _stream(s, d).select("event_type", F.current_timestamp().alias("clock"))
+    n, keys = [F.count("*").alias("n")], ["event_type"]
+    tumbling = runner.collected(windows.tumble(rows, "clock", "10 seconds", keys, n), "update")
+    sliding = runner.collected(windows.hop(rows, "clock", "10 seconds", "5 seconds", keys, n), "update")
+    sessions = runner.collected(windows.session(rows, "clock", "10 seconds", keys, n), "complete")
+    bounds = ["window_start", "window_end", *keys]
+    frames = [("tumbling", runner.latest(tumbling, bounds)), ("sliding", runner.latest(sliding, bounds)), ("session", sessions.join(sessions.agg(F.max("batch_no").alias("batch_no")), "batch_no", "left_semi"))]
+    parts = [df.groupBy(F.lit(kind).alias("kind"), "event_type").agg(F.sum("n").alias("n")) for kind, df in frames]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def k12_keyed_sink(s, d):
     """A keyed table that every micro-batch updates."""
     path = readers.fresh_dir(s)
@@ -115,6 +151,10 @@ QUERIES = {
     "t10_count_window_stream": (t10_stream, "with r as (select *, row_number() over (partition by user_id order by event_id) as rn, count(*) over (partition by user_id) as total from events) select user_id, (rn - 1) // 5 + 1 as window_no, max(value) as top from r where (rn - 1) // 5 + 1 <= total // 5 group by 1, 2"),
     "t26_prev_value_stream": (t26_stream, "select event_id, coalesce(lag(event_type) over (partition by user_id order by event_id), 'null') || ':' || upper(event_type) as joined from events"),
     "t32_daily_first_stream": (t32_stream, "select event_id, user_id, strftime(ts, '%Y-%m-%d') as day from events where event_type = 'view' qualify lag(cast(ts as date)) over (partition by user_id order by event_id) is distinct from cast(ts as date)"),
+    "t24_ttl_stream": (t24_stream, "select event_id, user_id, strftime(ts, '%Y-%m-%d') as day from events where event_type = 'view' qualify lag(cast(ts as date)) over (partition by user_id order by event_id) is distinct from cast(ts as date)"),
+    "t23_state_stream": (t23_stream, "select event_id, count(*) over (partition by user_id, event_type order by event_id) as n_kind, max(cast(round(value * 100) as bigint)) over w as top, cast(sum(cast(round(value * 100) as bigint)) over w as double) / count(*) over w as mean from events window w as (partition by user_id order by event_id)"),
+    "t28_map_window_stream": (t28_stream, "select user_id, epoch_ms(ts) // 21600000 * 21600000 as window_start_ms, count(*) as n from events group by all"),
+    "t9_clock_windows_stream": (t9_stream, "select kind, event_type, cast(sum(n) as bigint) as n from events, (values ('tumbling', 1), ('sliding', 2), ('session', 1)) as k(kind, n) group by all"),
     "k3_text_sink": (k3_text_sink, "select o_orderkey, o_custkey, o_orderstatus from orders"),
     "k4_columnar_sink": (k4_columnar_sink, "select strftime(ts, '%Y-%m-%d--%H') as bucket, count(*) as n, max(event_id) as last_id from events group by 1"),
     "k8_topic_records": (k8_topic_records, "select 'dwd_' || event_type as topic, count(*) as n, max(event_id) as last_id from events group by 1"),

@@ -30,9 +30,14 @@ def as_stream(df: DataFrame, order_by: str, pieces: int = 4, path: str | None =
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def run_to_end(df: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> int:
-    """Run all micro-batches there are; the number of the last one. The same checkpoint goes on where it ended."""
+def run_to_end(df: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None, idle: bool = True) -> int:
+    """Run all micro-batches there are; the number of the last one. The same checkpoint goes on where it ended.
+
+    ``idle``: also batches without rows, which event-time timers and last windows need. A processor that keeps the clock
+    asks for one more after each batch, so with these it would never end.
+    """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(idle).lower())
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     query = (
         df.writeStream.outputMode(mode).foreachBatch(sink).trigger(availableNow=True)
@@ -42,7 +47,7 @@ def run_to_end(df: DataFrame, sink: Callable[[DataFrame, int], None], mode: str
     return max((p["batchId"] for p in query.recentProgress), default=-1)
 
 
-def collected(df: DataFrame, mode: str = "append") -> DataFrame:
+def collected(df: DataFrame, mode: str = "append", idle: bool = True) -> DataFrame:
     """What a stream sends out, with the number of the batch that sent it."""
     spark = df.sparkSession
     path = fresh_dir(spark)
@@ -50,7 +55,7 @@ def collected(df: DataFrame, mode: str = "append") -> DataFrame:
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_no", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/b={batch_id}")
 
-    run_to_end(df, sink, mode)
+    run_to_end(df, sink, mode, idle=idle)
     return spark.read.parquet(path).drop("b")
 
 

@@ -120,5 +120,71 @@ class DueCount(StatefulProcessor):
         pass
 
 
+class RunningStats(StatefulProcessor):
+    """After each row of a key: how many of its kind there were (map state), the greatest amount (one value, reduced) and
+    the mean amount (a sum and a count, aggregated). Amounts are whole numbers."""
+
+    def __init__(self, order: str, kind: str, amount: str):
+        self.order, self.kind, self.amount = order, kind, amount
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getMapState("counts", "kind string", "n long")
+        self.top = handle.getValueState("top", "v long")
+        self.mean = handle.getValueState("mean", "total long, n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _sorted(rows, self.order)
+        counts: dict[str, int] = {}
+        top = self.top.get()[0] if self.top.exists() else None
+        total, n = self.mean.get() if self.mean.exists() else (0, 0)
+        out = []
+        for o, kind, amount in zip(pdf[self.order].tolist(), pdf[self.kind].tolist(), pdf[self.amount].tolist()):
+            if kind not in counts:
+                counts[kind] = self.counts.getValue((kind,))[0] if self.counts.containsKey((kind,)) else 0
+            counts[kind] += 1
+            top = amount if top is None else max(top, amount)
+            total, n = total + amount, n + 1
+            out.append((o, counts[kind], top, total / n))
+        for kind, k in counts.items():
+            self.counts.updateValue((kind,), (k,))
+        self.top.update((top,))
+        self.mean.update((total, n))
+        yield pd.DataFrame(out, columns=[self.order, "n_kind", "top", "mean"])
+
+    def close(self) -> None:
+        pass
+
+
+class MapWindow(StatefulProcessor):
+    """Tumbling windows by hand: map state counts the rows of each window's start, and a timer of event time at the
+    window's last millisecond sends the count and forgets it."""
+
+    def __init__(self, start: str, size_ms: int):
+        self.start, self.size_ms = start, size_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "start long", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for start, n in pdf[self.start].value_counts().items():
+                at = (int(start),)
+                before = self.counts.getValue(at)[0] if self.counts.containsKey(at) else 0
+                if not before:
+                    self.handle.registerTimer(at[0] + self.size_ms - 1)
+                self.counts.updateValue(at, (before + int(n),))
+        yield pd.DataFrame({"user_id": [], "window_start_ms": [], "n": []}).astype("int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = (expiredTimerInfo.getExpiryTimeInMs() + 1 - self.size_ms,)
+        n = self.counts.getValue(at)[0]
+        self.counts.removeKey(at)
+        yield pd.DataFrame({"user_id": [key[0]], "window_start_ms": [at[0]], "n": [n]})
+
+    def close(self) -> None:
+        pass
+
+
 def apply(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str = "Append", time_mode: str = "None") -> DataFrame:
     return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=time_mode)

@@ -75,6 +75,27 @@ def test_event_time_timer_counts(spark, tmp_path):
     assert fired and {r.user_id for r in fired} == {0, 1}
 
 
+def test_clock_timer_and_state_that_expires(spark, tmp_path):
+    rows = spark.sql("select id % 2 as user_id, 'x' as day, id as event_id from range(60)")
+    waits = runner.as_stream(rows, "event_id", 3, str(tmp_path / "a"))
+    out = stateful.apply(waits, ["user_id"], stateful.DueCount(0), "user_id long, n long, due_ms long", time_mode="ProcessingTime")
+    fired = runner.collected(out, idle=False).collect()
+    assert {r.user_id for r in fired} == {0, 1} and all(1 <= r.n <= 30 for r in fired)
+    for ttl, want in ((None, 2), (1, 6)):  # a state that is gone before the next batch makes each batch's first row a first one
+        df = runner.as_stream(rows, "event_id", 3, str(tmp_path / f"b{ttl}"))
+        out = stateful.apply(df, ["user_id"], stateful.DailyFirst("event_id", ttl), "event_id long, user_id long, day string", time_mode="ProcessingTime" if ttl else "None")
+        assert runner.collected(out, idle=False).count() == want
+
+
+def test_refire_by_hand(spark):
+    from rillflow.operators import windows
+
+    rows = spark.createDataFrame([(1, 5), (2, 8), (3, 25), (4, 9), (5, 45), (6, 7), (7, None)], "arrival long, sec int").withColumn("ts", F.timestamp_seconds("sec"))
+    got = windows.refire(rows.withColumn("k", F.lit("a")), ["k"], "ts", "arrival", 10, 10, 20).select(F.unix_seconds("window_end"), "fired", "arrived", "n").collect()
+    # The window to 10 ends on time with rows 1 and 2; 4 comes after the mark of 15; 6 comes at a mark of 35, past 10 + 20.
+    assert sorted(map(tuple, got), key=str) == sorted([(10, "on time", None, 2), (10, "late", 4, 3), (30, "on time", None, 1), (50, "on time", None, 1)], key=str)
+
+
 def test_create_table_from_config(spark):
     ddl = project.create_table_sql("rill_dim", "id,name", None, None)
     assert ddl == "CREATE TABLE IF NOT EXISTS rill_dim (id STRING NOT NULL, name STRING) USING parquet"
