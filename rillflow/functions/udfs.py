@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
@@ -47,6 +48,18 @@ def dictionary_tokens(text: str, words: frozenset[str], longest: int) -> list[st
     return out
 
 
+#: Words of a dictionary that each worker holds, at most.
+MOST_WORDS = 500_000
+
+
+def dictionary_of(words: DataFrame) -> list[str]:
+    """The distinct words of a frame's first column, as ``segmenter`` takes them; more than MOST_WORDS are an error."""
+    found = [r[0] for r in words.where(F.length(words[0]) > 0).distinct().take(MOST_WORDS + 1)]
+    if len(found) > MOST_WORDS:
+        raise ValueError(f"a dictionary holds at most {MOST_WORDS} words")
+    return found
+
+
 def segmenter(words: list[str]):
     """A column function that segments text by a dictionary of bounded size."""
     known, longest = frozenset(words), max(map(len, words), default=1)

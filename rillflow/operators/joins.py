@@ -59,20 +59,25 @@ def asof_join(left: DataFrame, versions: DataFrame, on: list[str], left_ts: str,
 def range_lookup(df: DataFrame, rules: DataFrame, value: str, low: str, high: str, cell: int, default: dict[str, Column], max_cells: int = 4096) -> DataFrame:
     """Each row with the rule whose range (ends included) holds its value, or the default; ranges do not overlap.
 
-    Ranges are laid over cells of ``cell`` and meet values by equality; one that spans more than ``max_cells`` cells is
-    compared as it is, among the few that do.
+    Ranges are laid over cells and meet values by equality. A range that would span more than ``max_cells`` cells goes to
+    a level whose cells are ``max_cells`` times as wide, and so on, up to any range of 64-bit numbers; each level in use
+    is one join. Rows with a null value and rules with a null bound match nothing.
     """
-    spans = F.floor(F.col(high) / cell) - F.floor(F.col(low) / cell) + 1
-    narrow = rules.where(spans <= max_cells).withColumn("__c", F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))))
-    asked = df.withColumn("__c", F.floor(F.col(value) / cell))
-    fits = (F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high))
-    out = asked.join(narrow, (asked["__c"] == narrow["__c"]) & fits, "left").drop("__c")
-    wide = rules.where(spans > max_cells)
-    if not wide.isEmpty():
-        far = wide.select(*[F.col(c).alias(f"__{c}") for c in wide.columns])
-        out = out.join(far, (F.col(value) >= F.col(f"__{low}")) & (F.col(value) <= F.col(f"__{high}")), "left")
-        out = out.select(*df.columns, *[F.coalesce(c, f"__{c}").alias(c) for c in wide.columns])
-    return out.withColumns({c: F.coalesce(F.col(c), v) for c, v in default.items()})
+    wide = [float(cell)]
+    while wide[-1] * max_cells < 2.0**64:
+        wide.append(wide[-1] * max_cells)
+    at = lambda c, size: F.floor(F.col(c) / F.lit(size))
+    level = sum((F.when(at(high, size) - at(low, size) >= max_cells, 1).otherwise(0) for size in wide[:-1]), F.lit(0))
+    used = sorted(r[0] for r in rules.select(level.alias("level")).distinct().collect()) or [0]
+    out = df
+    for k in used:
+        name = lambda c, k=k: f"__{k}_{c}"
+        cells = F.explode(F.sequence(at(low, wide[k]), at(high, wide[k]))).alias(name("cell"))
+        own = rules.where(level == k).select(cells, *[F.col(c).alias(name(c)) for c in rules.columns])
+        fits = (F.col(value) >= F.col(name(low))) & (F.col(value) <= F.col(name(high)))
+        out = out.join(own, (at(value, wide[k]) == F.col(name("cell"))) & fits, "left")
+    found = [F.coalesce(*[F.col(f"__{k}_{c}") for k in used], *([default[c]] if c in default else [])).alias(c) for c in rules.columns]
+    return out.select(*df.columns, *found)
 
 
 def enrich(df: DataFrame, dims: list[tuple[DataFrame, str, str, dict[str, str]]]) -> DataFrame:

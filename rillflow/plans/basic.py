@@ -259,6 +259,13 @@ def c14_tokens_all(s, d):
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
+def c14_segments(s, d):
+    """Names written without gaps, segmented by the words of all names."""
+    part = table(s, d, "part")
+    segment = udfs.segmenter(udfs.dictionary_of(part.select(F.explode(F.split("p_name", " ")))))
+    return part.select("p_partkey", F.posexplode(segment(F.replace("p_name", F.lit(" ")))).alias("pos", "word"))
+
+
 def u1_scalar_udf(s, d):
     udfs.register(s)
     table(s, d, "customer").createOrReplaceTempView("rill_customer")
@@ -367,6 +374,7 @@ QUERIES = {
     "c13_casts": (lambda s, d: table(s, d, "part").select("p_partkey", F.expr("try_cast(replace(p_brand, 'Brand#', '') as int)").alias("brand_no"), F.expr("try_cast(p_type as int)").alias("none"), F.col("p_retailprice").cast("long").alias("whole")), "select p_partkey, try_cast(replace(p_brand, 'Brand#', '') as integer) as brand_no, try_cast(p_type as integer) as none, cast(trunc(p_retailprice) as bigint) as whole from part"),
     "c14_tokens": (c14_tokens, "select word, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as word from documents where lang = 'es') group by 1 having count(*) > 20"),
     "c14_tokens_all": (c14_tokens_all, "select word, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as word from documents) group by 1"),
+    "c14_segments": (c14_segments, "with d as (select string_agg(w, '|' order by length(w) desc, w) || '|.' as pattern from (select distinct unnest(string_split(p_name, ' ')) as w from part) where w <> ''), g as (select p_partkey, regexp_extract_all(replace(p_name, ' ', ''), pattern) as ws from part, d) select p_partkey, cast(unnest(range(len(ws))) as integer) as pos, unnest(ws) as word from g"),
     "u1_scalar_udf": (u1_scalar_udf, "select c_custkey, upper(c_name) as name from customer where c_nationkey = 3"),
     "u1_scalar_udf_all": (u1_scalar_udf_all, "select c_custkey, upper(c_name) as name from customer"),
     "u2_table_udf": (u2_table_udf, "select p_partkey, word, cast(length(word) as integer) as length from (select p_partkey, unnest(string_split(p_name, ' ')) as word from part) where word <> ''"),

@@ -27,6 +27,23 @@ def test_partition_commit_closes_past_hours(spark, tmp_path):
     assert not (tmp_path / "t/dt=2024-01-01/hour=03/_SUCCESS").exists()
 
 
+def test_partition_commit_is_repeatable(spark, tmp_path):
+    path = tmp_path / "t"
+    sink = sinks.partition_commit(str(path), "ts")
+    frame = lambda *at: spark.createDataFrame([(t, k) for k, t in enumerate(at)], "ts string, n int").withColumn("ts", F.to_timestamp("ts"))
+    closed = lambda: sorted(f.parent.name for f in path.glob("dt=*/hour=*/_SUCCESS"))
+    sink(frame("2024-01-01 00:10:00", None), 0)
+    assert closed() == []
+    for _ in range(2):
+        sink(frame("2024-01-01 02:00:00", "2024-01-01 02:30:00"), 1)
+    assert closed() == ["hour=00"]
+    sink(frame("2024-01-01 01:59:00"), 2)  # late: an hour that isn't past the delay yet
+    sink(frame("2024-01-01 04:00:00"), 3)
+    assert closed() == ["hour=00", "hour=01", "hour=02"]
+    sink(frame(), 4)
+    assert spark.read.json(str(path)).count() == 6
+
+
 def test_keyed_table_is_repeatable(spark, tmp_path):
     path = str(tmp_path / "k")
     sink = sinks.keyed_table(path, ["id"], "seq")
