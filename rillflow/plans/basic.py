@@ -345,6 +345,7 @@ QUERIES = {
     "p18_co_map": (p18_co_map, "select side, out, count(*) as n from (select 'left' as side, 'rill_' || (user_id * 10) as out from events where event_type = 'click' union all select 'right', 'rill_VIEW' from events where event_type = 'view') group by all"),
     "p19_order_times": (p19_order_times, "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as create_date, strftime(o_orderdate, '%H') as create_hour, epoch_ms(o_orderdate) as create_ts from orders"),
     "a1_word_count": (lambda s, d: aggs.word_count(table(s, d, "documents"), "text").where("n > 30"), "select word, count(*) as n from (select unnest(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+')) as word from documents) where word <> '' group by word having count(*) > 30"),
+    "a1_word_count_all": (lambda s, d: aggs.word_count(table(s, d, "documents"), "text"), "select word, count(*) as n from (select unnest(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+')) as word from documents) where word <> '' group by word"),
     "a2_rolling": (lambda s, d: aggs.rolling(_events(s, d), ["user_id"], ["event_id"], {"so_far": F.count("*"), "top": F.max("value")}).select("event_id", "user_id", "so_far", "top"), "select event_id, user_id, count(*) over w as so_far, max(value) over w as top from events window w as (partition by user_id order by event_id rows unbounded preceding)"),
     "a3_max_field": (a3_max_field, "select user_id, max(value) as value, arg_min(event_type, event_id) as event_type, min(event_id) as event_id from events group by user_id"),
     "a3_max_by": (a3_max_by, "select user_id, value, event_type, event_id from (select *, row_number() over (partition by user_id order by value desc, event_id) as n from events) where n = 1"),

@@ -13,3 +13,4 @@ def test_whole_tables(spark, sf_dir):
     assert run("p5_replicate_all").count() == table(spark, sf_dir, "lineitem").agg(F.sum(F.col("l_quantity").cast("int"))).first()[0]
     assert run("p15_app_log_all").where("kind <> 'display'").agg(F.sum("n")).first()[0] == table(spark, sf_dir, "events").count()
     assert run("c14_tokens_all").where("n <= 20").count() > 0
+    assert run("a1_word_count_all").where("n <= 30").count() > 0
