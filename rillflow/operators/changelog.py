@@ -44,3 +44,19 @@ def emit_changelog(df: DataFrame, keys: list[str], order_by: list[str], agg: Col
     first = F.array(F.struct(F.lit("+I").alias("op"), F.col("__v").alias(name)))
     pair = F.array(F.struct(F.lit("-U").alias("op"), F.col("__old").alias(name)), F.struct(F.lit("+U").alias("op"), F.col("__v").alias(name)))
     return run.withColumn("__c", F.explode(F.when(F.col("__first"), first).otherwise(pair))).select(*keys, *order_by, "__c.*")
+
+
+def outer_join_changelog(left: DataFrame, right: DataFrame, on: str, left_seq: str, right_seq: str) -> DataFrame:
+    """The changelog of a left join whose sides arrive row by row: the left columns, the right ones, ``op`` and ``seq``.
+
+    ``on`` is unique on the left. A left row that comes before all its matches is first sent with nulls (+I) and taken
+    back by the first of them (-D); each pair is sent when the later of its rows is there. Rows with a null ``on`` match
+    nothing.
+    """
+    own = [c for c in right.columns if c != on]
+    none = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in own]
+    pairs = left.join(right, on).select(*left.columns, *own, F.lit("+I").alias("op"), F.greatest(left_seq, right_seq).alias("seq"))
+    alone = left.join(right.groupBy(on).agg(F.min(right_seq).alias("__first")), on, "left").where(F.col("__first").isNull() | (F.col("__first") > F.col(left_seq)))
+    sent = F.array(F.struct(F.lit("+I").alias("op"), F.col(left_seq).alias("seq")), F.struct(F.lit("-D").alias("op"), F.col("__first").alias("seq")))
+    alone = alone.select(*left.columns, *none, F.inline(F.filter(sent, lambda c: c["seq"].isNotNull())))
+    return pairs.unionByName(alone)

@@ -183,6 +183,18 @@ def j22_range_lookup(s, d):
     return joins.range_lookup(o, rules, "price", "low", "high", 10_000, {"n_name": F.lit("-1")}).select("o_orderkey", "n_name")
 
 
+def k13_retractions(s, d):
+    """Orders joined to the lines sent back: a line may come before its order, so some orders are first sent alone."""
+    o = table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 10 + 3).alias("o_seq"))
+    line = table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("l_seq"))
+    return changelog.outer_join_changelog(o, line, "o_orderkey", "o_seq", "l_seq").select("o_orderkey", "l_linenumber", "op", "seq")
+
+
+def k13_keyed_table(s, d):
+    """The table that the retractions leave under the key of order and line; lines of one number are one row of it."""
+    return changelog.apply_changelog(k13_retractions(s, d), ["o_orderkey", "l_linenumber"], "seq", F.col("op") == "-D").select("o_orderkey", "l_linenumber")
+
+
 def r1_global_top(s, d):
     per = _events(s, d).groupBy("user_id").agg(F.count("*").alias("n"))
     return aggs.global_top_n(per, [F.desc("n"), F.asc("user_id")], 2)
@@ -302,6 +314,8 @@ QUERIES = {
     "j18_reconcile": (j18_reconcile, "with a as (select * from events where event_type = 'purchase'), b as (select * from events where event_type = 'click') select coalesce(a.user_id, b.user_id) as key, case when b.user_id is null then 'right missing' when a.user_id is null then 'left missing' else 'matched' end as status, count(*) as n from a full join b on a.user_id = b.user_id and abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 3600000000 group by all"),
     "j19_unnest": (j19_unnest, "select p_partkey, unnest(string_split(p_name, ' ')) as tag from part"),
     "j21_map_side": (lambda s, d: table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name"), "select s_suppkey, n_name from supplier join nation on s_nationkey = n_nationkey"),
+    "k13_retractions": (k13_retractions, "with m as (select o_orderkey, l_linenumber, o_orderkey * 10 + 3 as ls, l_orderkey * 10 + l_linenumber as rs from orders join lineitem on o_orderkey = l_orderkey and l_returnflag = 'R'), f as (select o.o_orderkey, o.o_orderkey * 10 + 3 as ls, min(rs) as first from orders o left join m on o.o_orderkey = m.o_orderkey group by 1) select o_orderkey, l_linenumber, '+I' as op, greatest(ls, rs) as seq from m union all select o_orderkey, null, '+I', ls from f where first is null or first > ls union all select o_orderkey, null, '-D', first from f where first > ls"),
+    "k13_keyed_table": (k13_keyed_table, "select distinct o_orderkey, l_linenumber from orders left join lineitem on o_orderkey = l_orderkey and l_returnflag = 'R'"),
     "j22_range_lookup": (j22_range_lookup, "select o_orderkey, coalesce(n_name, '-1') as n_name from orders left join nation on floor(o_totalprice) between n_nationkey * 40000 and n_nationkey * 40000 + 30000"),
     "r1_global_top": (r1_global_top, "select user_id, n, cast(row_number() over (order by n desc, user_id) as integer) as rn from (select user_id, count(*) as n from events group by 1) qualify rn <= 2"),
     "r2_window_top": (r2_window_top, f"with a as (select {_DAY} as window_start, user_id, count(*) as n, max(value) as top from events group by all) select *, cast(row_number() over (partition by window_start order by n desc, top desc, user_id) as integer) as rn from a qualify rn <= 2"),

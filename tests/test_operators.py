@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from rillflow.functions import udfs
-from rillflow.operators import joins
+from rillflow.operators import changelog, joins
 
 
 def test_range_lookup_of_any_width(spark):
@@ -34,3 +34,14 @@ def test_segmenter(spark):
     df = spark.createDataFrame([(1, "北京大学生 ok"), (2, ""), (3, None)], "id int, text string")
     got = {r.id: r.words for r in df.select("id", segment("text").alias("words")).collect()}
     assert got == {1: ["北京大学", "生", "o", "k"], 2: [], 3: None}
+
+
+def test_outer_join_changelog(spark):
+    left = spark.createDataFrame([(1, 10), (2, 10), (3, 10), (None, 10)], "k int, a long")
+    right = spark.createDataFrame([(1, 5, "early"), (1, 20, "late"), (2, 30, "after"), (2, 40, "last"), (None, 1, "none")], "k int, b long, v string")
+    out = changelog.outer_join_changelog(left, right, "k", "a", "b")
+    got = sorted((r.k or 0, r.seq, r.op, r.v or "") for r in out.collect())
+    assert got == [
+        (0, 10, "+I", ""), (1, 10, "+I", "early"), (1, 20, "+I", "late"), (2, 10, "+I", ""), (2, 30, "+I", "after"), (2, 30, "-D", ""), (2, 40, "+I", "last"), (3, 10, "+I", ""),
+    ]
+    assert changelog.outer_join_changelog(left, right.limit(0), "k", "a", "b").count() == 4
