@@ -11,8 +11,8 @@ from .common import table
 RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
-    ("allow", "example.net", "/de/8"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
 #: What the method says where no rule fits: a URL no rule names is let through.
@@ -85,8 +85,8 @@ v AS (
     coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
 r(verdict, rule_host, rule_path) AS (VALUES
-  ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'),
-  ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+  ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
+  ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 f AS (
   SELECT page_id, host, path, verdict, rule_host || rule_path AS rule,
     row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule_host || rule_path) DESC) AS n

@@ -1,4 +1,9 @@
-from rillflow.llm.urlfilter import RULES, judge
+import duckdb
+
+from rillflow.llm.urlfilter import ORACLE_SQL, judge
+
+#: (verdict, host, path), written out here so that the library's rules are held against them.
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
 def slow(url):
@@ -25,3 +30,16 @@ def test_against_brute_force(spark):
     want = [(i, *slow(u)) for i, u in enumerate(urls)] + [(None, *slow(urls[4])), (4, *slow(urls[4]))]
     assert got == sorted(want, key=str)
     assert judge(pages.limit(0)).count() == 0
+
+
+def test_verdict_of_each_rule(spark):
+    want = {
+        "http://shop.com/en/1": ("com/en/", "block"), "http://a.example.com/en/71": ("example.com/en/7", "allow"), "http://shop.net/de/8": ("net/de/", "allow"),
+        "http://example.net/de/7": ("net/de/", "allow"), "http://x.example.net/de/80": ("example.net/de/8", "block"), "http://a.org/es/": ("org/es/", "block"),
+        "http://a.org/en/": (None, "allow"),
+    }
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(want)], "page_id long, url string")
+    assert {r.page_id: (r.rule, r.verdict) for r in judge(pages).collect()} == dict(enumerate(want.values()))
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    assert {r[0]: (r[3], r[4]) for r in con.execute(ORACLE_SQL).fetchall()} == dict(enumerate(want.values()))
