@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chatformat, decontaminate, linededup, merkle, packing, pii, secrets, simhash, substrings, topk, toxicity, urlfilter
+from . import chatformat, collocations, decontaminate, linededup, merkle, packing, pii, secrets, simhash, substrings, topk, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_near_dedup": simhash.op8,
         "op9_url_filter": urlfilter.op9,
         "op10_top_k": topk.op10,
+        "op11_collocations": collocations.op11,
         "op12_merkle_manifest": merkle.op12,
         "op13_chat_format": chatformat.op13,
     }
@@ -31,6 +32,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": decontaminate.ORACLE_SQL,
         "op9_url_filter": urlfilter.ORACLE_SQL,
         "op10_top_k": topk.ORACLE_SQL,
+        "op11_collocations": collocations.ORACLE_SQL,
         "op12_merkle_manifest": merkle.ORACLE_SQL,
         "op13_chat_format": chatformat.ORACLE_SQL,
     }
