@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from .common import bitmap_of, cut, in_bitmap, table
 
 LEAST, LONGEST, TOP, SCALE = 100, 5, 2000, 1000
-#: Suffixes that a leading pair may have before they are dealt to several tasks, and that a task sorts at a time.
-ROUTE_ROWS, SORT_ROWS = 1 << 20, 1 << 19
+#: Suffixes that a leading pair may have before they are dealt to several buckets, that a bucket has on the average, and
+#: that a task sorts at a time.
+ROUTE_ROWS, BUCKET_ROWS, SORT_ROWS = 1 << 20, 1 << 17, 1 << 19
 SEED = 42
 #: Parts of a lang whose best phrases are taken before the lang's.
 RANK_PARTS = 16
@@ -117,8 +118,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, r
     Words are counted first, then pairs by hash; both only tell which suffixes can lead to a frequent phrase (bitmaps of
     fixed size, which let too many through but none too few). A suffix pointer stands for up to ``longest`` words
     from a place, as far as neighbours can be frequent; equal ones of a task are one with a weight. They are routed by
-    their two leading words; a pair with more than ``route_rows`` is dealt to several tasks by the whole suffix, and
-    their counts are added. Each route is sorted by ``equal_partitions``.
+    their two leading words, in packets of a task's suffixes for one bucket of pairs; buckets are as many as the rows
+    ask for. A pair with more than ``route_rows`` is dealt to several buckets by the whole suffix, and their counts are
+    added. The buckets are sorted by ``equal_partitions``, some at a time.
     """
     spark = docs.sparkSession
     given = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
@@ -136,8 +138,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, r
                 yield pa.record_batch({"pair": pa.array(pair.view(np.int64)), "n": pa.array(n, pa.int64())})
 
     pairs = cut(given.mapInArrow(count_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    most = pairs.agg(F.max("n")).first()[0] or 0
+    most, total = (v or 0 for v in pairs.agg(F.max("n"), F.sum("n")).first())
     salts = np.uint64(max(1, -(-most // route_rows)))
+    buckets = np.uint64(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_ROWS)))
     leading = spark.sparkContext.broadcast((bitmap_of(pairs, "pair"), bitmap_of(pairs.where(F.col("n") > route_rows), "pair")))
 
     def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +170,16 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, r
                 for k in range(2, longest):
                     whole = (whole ^ (whole >> np.uint64(29))) * _MIX[2] + text.hashes[ids[:, k]]
                 route = np.where(hot, (route + (whole >> np.uint64(7)) % salts + np.uint64(1)) * _MIX[0], route)
+                bucket = ((route >> np.uint64(11)) % buckets).astype(np.int64)
+                order = np.lexsort((hot, bucket))
+                bucket, hot = bucket[order], hot[order]
+                begin = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (hot[1:] != hot[:-1])]))
+                edges = pa.array(np.append(begin, len(order)), pa.int32())
                 names = text.names
+                suffixes = pa.array([b" ".join([names[i] for i in row if i]) for row in ids[order].tolist()], pa.binary())
                 yield pa.record_batch({
-                    "lang": pa.array([lang] * len(ids), pa.binary()), "suffix": pa.array([b" ".join([names[i] for i in row if i]) for row in ids.tolist()], pa.binary()),
-                    "n": pa.array(n, pa.int64()), "route": pa.array(route.view(np.int64)), "hot": pa.array(hot),
+                    "bucket": pa.array(bucket[begin]), "hot": pa.array(hot[begin]), "lang": pa.array([lang] * len(begin), pa.binary()),
+                    "suffixes": pa.ListArray.from_arrays(edges, suffixes), "n": pa.ListArray.from_arrays(edges, pa.array(n[order], pa.int64())),
                 })
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,21 +187,24 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, r
 
         def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             for hot in (False, True):
-                own = rows.filter(pc.equal(rows["hot"], hot))
-                yield from _phrases_of(own["lang"].to_pylist(), own["suffix"].to_pylist(), own["n"].to_numpy(), 1 if hot else least, longest)
+                own = rows.filter(pc.equal(rows["hot"], hot)).combine_chunks()
+                langs = own["lang"].take(pc.list_parent_indices(own["suffixes"])).to_pylist()
+                suffixes, weight = pc.list_flatten(own["suffixes"]).to_pylist(), pc.list_flatten(own["n"]).to_numpy()
+                yield from _phrases_of(langs, suffixes, weight, 1 if hot else least, longest)
 
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) >= SORT_ROWS:
+            if sum(len(b.column("suffixes").flatten()) for b in held) >= SORT_ROWS:
                 rows = pa.Table.from_batches(held)
-                route = rows["route"].to_numpy()
-                end = int(np.searchsorted(route, route[-1]))  # the last route may go on
+                bucket = rows["bucket"].to_numpy()
+                end = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
                 yield from flush(rows[:end])
                 held = rows[end:].to_batches()
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    routed = given.mapInArrow(point, "lang binary, suffix binary, n long, route long, hot boolean").repartition("route").sortWithinPartitions("route")
+    packets = given.mapInArrow(point, "bucket long, hot boolean, lang binary, suffixes array<binary>, n array<long>")
+    routed = packets.repartition("bucket").sortWithinPartitions("bucket")
     counted = routed.mapInArrow(sort, "lang binary, phrase binary, words int, n long")
     phrases = counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     one = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "n")
