@@ -102,10 +102,6 @@ def _replicated(lines: DataFrame) -> DataFrame:
 
 
 def p5_replicate(s, d):
-    return _replicated(table(s, d, "lineitem").where("l_quantity <= 5"))
-
-
-def p5_replicate_all(s, d):
     return _replicated(table(s, d, "lineitem"))
 
 
@@ -146,10 +142,6 @@ def _app_log(e: DataFrame) -> DataFrame:
 
 
 def p15_app_log(s, d):
-    return _app_log(_events(s, d).where("event_id % 4 <> 3"))
-
-
-def p15_app_log_all(s, d):
     return _app_log(_events(s, d))
 
 
@@ -250,11 +242,6 @@ def c11_merge(s, d):
 
 
 def c14_tokens(s, d):
-    words = table(s, d, "documents").where("lang = 'es'").select(F.explode(scalars.tokens("text")).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n")).where("n > 20")
-
-
-def c14_tokens_all(s, d):
     words = table(s, d, "documents").select(F.explode(scalars.tokens("text")).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
@@ -267,12 +254,6 @@ def c14_segments(s, d):
 
 
 def u1_scalar_udf(s, d):
-    udfs.register(s)
-    table(s, d, "customer").createOrReplaceTempView("rill_customer")
-    return s.sql("select c_custkey, my_upper(c_name) as name from rill_customer where c_nationkey = 3")
-
-
-def u1_scalar_udf_all(s, d):
     udfs.register(s)
     table(s, d, "customer").createOrReplaceTempView("rill_customer")
     return s.sql("select c_custkey, my_upper(c_name) as name from rill_customer")
@@ -329,8 +310,7 @@ QUERIES = {
     "p2_filter": (lambda s, d: _events(s, d).where((F.col("event_type") == "click") & (F.col("value") > 20)).select("event_id", "user_id", "value"), "select event_id, user_id, value from events where event_type = 'click' and value > 20"),
     "p3_flat_map": (p3_flat_map, "select event_id, unnest(case when event_type = 'click' then [cast(user_id as varchar)] else [cast(user_id as varchar), event_type] end) as out from events"),
     "p4_flatten": (p4_flatten, "select l_orderkey, l_linenumber as no, l_partkey as part, l_quantity as qty from lineitem where l_orderkey in (select l_orderkey from lineitem group by 1 having count(*) <= 3)"),
-    "p5_replicate": (p5_replicate, "select l_orderkey, l_linenumber, l_partkey, cnt, cast(copy as integer) as copy, (l_orderkey * 31 + l_linenumber * 7 + copy * 13) % 90 + 10 as load from (select l_orderkey, l_linenumber, l_partkey, cast(l_quantity as integer) as cnt, unnest(range(1, cast(l_quantity as integer) + 1)) as copy from lineitem where l_quantity <= 5)"),
-    "p5_replicate_all": (p5_replicate_all, "select l_orderkey, l_linenumber, l_partkey, cnt, cast(copy as integer) as copy, (l_orderkey * 31 + l_linenumber * 7 + copy * 13) % 90 + 10 as load from (select l_orderkey, l_linenumber, l_partkey, cast(l_quantity as integer) as cnt, unnest(range(1, cast(l_quantity as integer) + 1)) as copy from lineitem)"),
+    "p5_replicate": (p5_replicate, "select l_orderkey, l_linenumber, l_partkey, cnt, cast(copy as integer) as copy, (l_orderkey * 31 + l_linenumber * 7 + copy * 13) % 90 + 10 as load from (select l_orderkey, l_linenumber, l_partkey, cast(l_quantity as integer) as cnt, unnest(range(1, cast(l_quantity as integer) + 1)) as copy from lineitem)"),
     "p6_multi_emit": (p6_multi_emit, "select event_id, cast(unnest(range(len(o))) as integer) as pos, unnest(o) as out from (select event_id, case event_type when 'click' then ['seen click', event_type || '/' || user_id] when 'error' then [event_type, event_type, event_type || '/' || user_id] else [event_type || '/' || user_id] end as o from events)"),
     "p7_select_where": (lambda s, d: table(s, d, "orders").where("o_totalprice > 200000").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer")), "select o_orderkey as id, o_custkey as customer from orders where o_totalprice > 200000"),
     "p8_computed": (lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") + 10).alias("size10"), (F.col("p_partkey") * 10).alias("big_id")), "select p_partkey as id, p_size + 10 as size10, p_partkey * 10 as big_id from part"),
@@ -339,13 +319,11 @@ QUERIES = {
     "p12_valid_json": (p12_valid_json, "select count(*) as n from events where event_id % 5 <> 0"),
     "p13_event_day": (p13_event_day, "select strftime(ts, '%Y-%m-%d') as dt, count(*) as n from events group by 1"),
     "p14_side_outputs": (p14_side_outputs, "select case when value > 50 then 'big' when event_type = 'error' then 'errors' else 'main' end as output, event_id, value from events"),
-    "p15_app_log": (p15_app_log, "with l as (select event_id, 'page' || (user_id % 5) as page_id, event_type = 'signup' as st, event_id % 3 + 1 as n from events where event_id % 4 <> 3) select kind, page_id, count(*) as n, count(item) as n_items from (select case when st then 'start' else 'page' end as kind, page_id, null as item from l union all select 'display', page_id, unnest(range(n)) from l where not st) group by all"),
-    "p15_app_log_all": (p15_app_log_all, "with l as (select event_id, 'page' || (user_id % 5) as page_id, event_type = 'signup' as st, event_id % 3 + 1 as n from events) select kind, page_id, count(*) as n, count(item) as n_items from (select case when st then 'start' else 'page' end as kind, page_id, null as item from l union all select 'display', page_id, unnest(range(n)) from l where not st) group by all"),
+    "p15_app_log": (p15_app_log, "with l as (select event_id, 'page' || (user_id % 5) as page_id, event_type = 'signup' as st, event_id % 3 + 1 as n from events) select kind, page_id, count(*) as n, count(item) as n_items from (select case when st then 'start' else 'page' end as kind, page_id, null as item from l union all select 'display', page_id, unnest(range(n)) from l where not st) group by all"),
     "p16_route_by_config": (p16_route_by_config, "select o_orderkey, t.sink_type, t.sink_table, t.columns, case when t.columns = 'cust,id' then cast(o_custkey as varchar) end as cust from orders join (values ('order_info', 'F', 'kafka', 'dwd_order', 'cust,id'), ('order_info', 'O', 'hbase', 'dim_order', 'id,prio'), ('order_log', 'F', 'hbase', 'dim_log', 'id')) t(src, st, sink_type, sink_table, columns) on o_orderstatus = st and src = case when o_orderkey % 3 = 0 then 'order_info' else 'order_log' end"),
     "p18_co_map": (p18_co_map, "select side, out, count(*) as n from (select 'left' as side, 'rill_' || (user_id * 10) as out from events where event_type = 'click' union all select 'right', 'rill_VIEW' from events where event_type = 'view') group by all"),
     "p19_order_times": (p19_order_times, "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as create_date, strftime(o_orderdate, '%H') as create_hour, epoch_ms(o_orderdate) as create_ts from orders"),
-    "a1_word_count": (lambda s, d: aggs.word_count(table(s, d, "documents"), "text").where("n > 30"), "select word, count(*) as n from (select unnest(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+')) as word from documents) where word <> '' group by word having count(*) > 30"),
-    "a1_word_count_all": (lambda s, d: aggs.word_count(table(s, d, "documents"), "text"), "select word, count(*) as n from (select unnest(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+')) as word from documents) where word <> '' group by word"),
+    "a1_word_count": (lambda s, d: aggs.word_count(table(s, d, "documents"), "text"), "select word, count(*) as n from (select unnest(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+')) as word from documents) where word <> '' group by word"),
     "a2_rolling": (lambda s, d: aggs.rolling(_events(s, d), ["user_id"], ["event_id"], {"so_far": F.count("*"), "top": F.max("value")}).select("event_id", "user_id", "so_far", "top"), "select event_id, user_id, count(*) over w as so_far, max(value) over w as top from events window w as (partition by user_id order by event_id rows unbounded preceding)"),
     "a3_max_field": (a3_max_field, "select user_id, max(value) as value, arg_min(event_type, event_id) as event_type, min(event_id) as event_id from events group by user_id"),
     "a3_max_by": (a3_max_by, "select user_id, value, event_type, event_id from (select *, row_number() over (partition by user_id order by value desc, event_id) as n from events) where n = 1"),
@@ -373,11 +351,9 @@ QUERIES = {
     "j20_lateral_outer": (j20_lateral_outer, "select p_partkey, unnest(case when len(w) = 0 then [null] else w end) as word from (select p_partkey, list_filter(string_split(p_name, ' '), lambda x: length(x) > 4) as w from part)"),
     "t37_observed": (t37_observed, "select count(*) as n, count(*) filter (event_type = 'error') as errors from events"),
     "c13_casts": (lambda s, d: table(s, d, "part").select("p_partkey", F.expr("try_cast(replace(p_brand, 'Brand#', '') as int)").alias("brand_no"), F.expr("try_cast(p_type as int)").alias("none"), F.col("p_retailprice").cast("long").alias("whole")), "select p_partkey, try_cast(replace(p_brand, 'Brand#', '') as integer) as brand_no, try_cast(p_type as integer) as none, cast(trunc(p_retailprice) as bigint) as whole from part"),
-    "c14_tokens": (c14_tokens, "select word, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as word from documents where lang = 'es') group by 1 having count(*) > 20"),
-    "c14_tokens_all": (c14_tokens_all, "select word, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as word from documents) group by 1"),
+    "c14_tokens": (c14_tokens, "select word, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as word from documents) group by 1"),
     "c14_segments": (c14_segments, "with d as (select string_agg(w, '|' order by length(w) desc, w) || '|.' as pattern from (select distinct unnest(string_split(p_name, ' ')) as w from part) where w <> ''), g as (select p_partkey, regexp_extract_all(replace(p_name, ' ', ''), pattern) as ws from part, d) select p_partkey, cast(unnest(range(len(ws))) as integer) as pos, unnest(ws) as word from g"),
-    "u1_scalar_udf": (u1_scalar_udf, "select c_custkey, upper(c_name) as name from customer where c_nationkey = 3"),
-    "u1_scalar_udf_all": (u1_scalar_udf_all, "select c_custkey, upper(c_name) as name from customer"),
+    "u1_scalar_udf": (u1_scalar_udf, "select c_custkey, upper(c_name) as name from customer"),
     "u2_table_udf": (u2_table_udf, "select p_partkey, word, cast(length(word) as integer) as length from (select p_partkey, unnest(string_split(p_name, ' ')) as word from part) where word <> ''"),
     "u3_weighted_average": (u3_weighted, "select l_suppkey, cast(sum(cast(trunc(l_extendedprice) as bigint) * cast(l_quantity as integer)) // sum(cast(l_quantity as integer)) as bigint) as w_avg from lineitem group by 1"),
     "u4_top_two": (u4_top_two, "select o_custkey, cast(n as integer) as rank, o_totalprice as value from (select *, row_number() over (partition by o_custkey order by o_totalprice desc) as n from orders) where n <= 2"),

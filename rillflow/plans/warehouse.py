@@ -169,11 +169,6 @@ def w10_province_stats(s, d):
 
 
 def w11_keyword_stats(s, d):
-    words = table(s, d, "conversations").where("role = 'user' and text is not null").select("conv_id", F.explode(scalars.tokens("text")).alias("keyword"))
-    return words.groupBy((F.col("conv_id") % 10).alias("slot"), "keyword").agg(F.count("*").alias("ct")).where("ct >= 3")
-
-
-def w11_keyword_windows(s, d):
     """Words of users in windows of ten seconds; a turn's time is a second, two seconds a conversation."""
     said = table(s, d, "conversations").where("role = 'user' and text is not null")
     said = said.select(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, conv_id * 2 + turn)").alias("ts"), F.explode(scalars.tokens("text")).alias("keyword"))
@@ -219,9 +214,8 @@ QUERIES = {
     "w8_visitor_stats": (w8_visitor_stats, f"with log as ({_LOG}), u as (select ts, ar, ch, is_new, 1 as uv, 0 as pv, 0 as sv, 0 as uj, 0 as dur from ({_FIRST}) union all select ts, ar, ch, is_new, 0, 1, 0, 0, during from log union all select ts, ar, ch, is_new, 0, 0, 1, 0, 0 from log where not inner_page union all select ts, ar, ch, is_new, 0, 0, 0, 1, 0 from ({_BOUNCE})) select date_trunc('day', ts) as window_start, date_trunc('day', ts) + interval 1 day as window_end, ar, ch, is_new, cast(sum(uv) as double) as uv_ct, cast(sum(pv) as double) as pv_ct, cast(sum(sv) as double) as sv_ct, cast(sum(uj) as double) as uj_ct, cast(sum(dur) as double) as dur_sum from u group by date_trunc('day', ts), ar, ch, is_new"),
     "w9_product_stats": (w9_product_stats, f"with u as (select {_MONTH('ts')} as dt, event_id % 100 as sku, case when event_type = 'click' then 1 else 0 end as a, case when event_type = 'view' then 1 else 0 end as b, 0.0 as q, 0.0 as o, 0.0 as p, 0.0 as r, null as k, null as kp from events where event_type in ('click', 'view') union all select {_MONTH('l_shipdate')}, l_partkey, 0, 0, l_quantity, l_extendedprice, case when l_linestatus = 'F' then l_extendedprice else 0 end, case when l_returnflag = 'R' then l_extendedprice else 0 end, l_orderkey, case when l_linestatus = 'F' then l_orderkey end from lineitem), g as (select cast(dt as timestamp) as dt, sku, cast(sum(a) as double) as click_ct, cast(sum(b) as double) as display_ct, cast(sum(cast(q as decimal(18,2))) as double) as order_sku_num, cast(sum(cast(o as decimal(18,2))) as double) as order_amount, cast(sum(cast(p as decimal(18,2))) as double) as paid_amount, cast(sum(cast(r as decimal(18,2))) as double) as refund_amount, count(distinct k) as order_ct, count(distinct kp) as paid_order_ct from u group by all) select g.*, p_name as sku_name, p_brand as brand from g left join part on sku = p_partkey"),
     "w9_product_windows": (w9_product_windows, "with e as (select epoch_us(ts) // 10000000 as w, event_id % 100 as sku, count(*) filter (event_type = 'view') as display_ct, count(*) filter (event_type = 'click') as click_ct, count(*) filter (event_type = 'signup') as favor_ct, count(*) filter (event_type = 'purchase') as cart_ct, count(*) filter (event_type = 'error') as comment_ct, count(*) filter (event_type = 'error' and cast(json_extract(props, '$.k') as bigint) % 2 = 0) as good_comment_ct from events group by all), x as (select epoch_us(l_shipdate) // 10000000 as w, l_partkey as sku, l_orderkey as k, cast(l_quantity as decimal(18,2)) as q, cast(l_extendedprice as decimal(18,2)) as p, l_linestatus = 'F' as paid, l_returnflag = 'R' as back from lineitem), l as (select w, sku, sum(q) as order_sku_num, sum(p) as order_amount, sum(p) filter (paid) as payment_amount, sum(p) filter (back) as refund_amount, count(distinct k) as order_ct, count(distinct k) filter (paid) as paid_order_ct, count(distinct k) filter (back) as refund_order_ct from x group by all) select strftime(make_timestamp(w * 10000000), '%Y-%m-%d %H:%M:%S') as stt, strftime(make_timestamp(w * 10000000 + 10000000), '%Y-%m-%d %H:%M:%S') as edt, sku, " + ", ".join(f"coalesce({m}, 0) as {m}" for m in "display_ct click_ct favor_ct cart_ct comment_ct good_comment_ct order_ct paid_order_ct refund_order_ct".split()) + ", " + ", ".join(f"cast(coalesce({m}, 0) as double) as {m}" for m in "order_sku_num order_amount payment_amount refund_amount".split()) + ", p_name as sku_name, p_retailprice as sku_price, p_type as category, p_brand as trademark, p_brand || ' ' || p_type as spu from e full join l using (w, sku) left join part on sku = p_partkey"),
-    "w11_keyword_windows": (w11_keyword_windows, "with k as (select (conv_id * 2 + turn) // 10 * 10 as w, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as keyword from conversations where role = 'user') select strftime(timestamp '2024-01-01' + to_seconds(w), '%Y-%m-%d %H:%M:%S') as stt, strftime(timestamp '2024-01-01' + to_seconds(w + 10), '%Y-%m-%d %H:%M:%S') as edt, keyword, count(*) as ct, 'SEARCH' as source from k group by w, keyword"),
+    "w11_keyword_stats": (w11_keyword_stats, "with k as (select (conv_id * 2 + turn) // 10 * 10 as w, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as keyword from conversations where role = 'user') select strftime(timestamp '2024-01-01' + to_seconds(w), '%Y-%m-%d %H:%M:%S') as stt, strftime(timestamp '2024-01-01' + to_seconds(w + 10), '%Y-%m-%d %H:%M:%S') as edt, keyword, count(*) as ct, 'SEARCH' as source from k group by w, keyword"),
     "w10_province_stats": (w10_province_stats,"with o as (select n_name as province, make_timestamp(epoch_us(o_orderdate) // 2592000000000 * 2592000000000) as w, o_totalprice, o_orderkey from orders left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey) select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, strftime(w + interval 30 day, '%Y-%m-%d %H:%M:%S') as window_end, province, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as order_amount, count(distinct o_orderkey) as order_count from o group by w, province"),
-    "w11_keyword_stats": (w11_keyword_stats, "select slot, keyword, count(*) as ct from (select conv_id % 10 as slot, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as keyword from conversations where role = 'user') group by all having count(*) >= 3"),
     "w12_event_users": (w12_event_users, "with x as (select event_id, user_id, copy, (event_id * 31 + copy * 17) % 90 + 10 as load from (select event_id, user_id, unnest(range(1, event_id % 4 + 1)) as copy from events)), h as (select x.*, c_mktsegment as grp from x join customer on user_id = c_custkey and c_acctbal > 0) select 'best' as side, grp, event_id, copy, load from h qualify row_number() over (partition by grp order by load desc, event_id desc, copy desc) = 1 union all select 'sevens', grp, max(event_id), 0, count(*) from h where load % 7 = 0 group by grp union all select 'miss', 'none', max(event_id), 0, count(*) from x where user_id not in (select c_custkey from customer where c_acctbal > 0) having count(*) > 0"),
     "w13_top_chain": (w13_top_chain, "with t as (select * from customer qualify row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) <= 3) select c_mktsegment as segment, count(*) as n, max(c_acctbal) as top from t where c_nationkey % 2 = 1 group by 1"),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,22 +13,28 @@ from ..sources.readers import fresh_dir
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Rows of a file of a stream that a table is laid out as.
+FILE_ROWS = 1_000_000
+
+
 def as_stream(df: DataFrame, order_by: str, pieces: int = 4, path: str | None = None) -> DataFrame:
-    """A table as a stream of files in order, one for each micro-batch; NTZ times become instants, as watermarks need."""
+    """A table as a stream of files in order, in about ``pieces`` micro-batches; NTZ times become instants, as watermarks need.
+
+    Files hold ranges of the order and are as many as the rows ask for; a stream reads files by their time of change, so
+    each gets one that follows its place. A batch may end behind any file.
+    """
     spark = df.sparkSession
     path = path or fresh_dir(spark)
     rows = df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
-    edges = rows.approxQuantile(order_by, [k / pieces for k in range(1, pieces)], 0.001)
-    low = None
-    for k, high in enumerate([*edges, None]):
-        part = rows
-        if low is not None:
-            part = part.where(F.col(order_by) > low)
-        if high is not None:
-            part = part.where(F.col(order_by) <= high)
-        part.coalesce(1).write.mode("append").parquet(path)
-        low = high
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    each = max(1, -(-rows.count() // (pieces * FILE_ROWS)))
+    rows.repartitionByRange(pieces * each, order_by).sortWithinPartitions(order_by).write.mode("append").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    last = int(time.time() * 1000)
+    for k, file in enumerate(files):
+        fs.setTimes(file, last - 100 * (len(files) - k), -1)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def run_to_end(df: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None, idle: bool = True) -> int:

@@ -89,6 +89,25 @@ class DailyFirst(StatefulProcessor):
         pass
 
 
+class FirstOfDay(StatefulProcessor):
+    """As ``DailyFirst``, for rows in event time: gives the ``columns`` of each row on a day other than the key's last."""
+
+    def __init__(self, order: str, day: str, columns: list[str]):
+        self.order, self.day_of, self.columns = order, day, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.day = handle.getValueState("day", "d string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _sorted(rows, self.order)
+        before = pdf[self.day_of].shift(fill_value=self.day.get()[0] if self.day.exists() else "")
+        self.day.update((pdf[self.day_of].iloc[-1],))
+        yield pdf.loc[pdf[self.day_of] != before, self.columns]
+
+    def close(self) -> None:
+        pass
+
+
 class DueCount(StatefulProcessor):
     """A count of the key's rows so far, sent by a timer (of event time or the clock) a period after the first row that
     none waits for."""
@@ -186,5 +205,8 @@ class MapWindow(StatefulProcessor):
         pass
 
 
-def apply(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str = "Append", time_mode: str = "None") -> DataFrame:
-    return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=time_mode)
+def apply(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str = "Append", time_mode: str = "None", event_time: str = "") -> DataFrame:
+    """``event_time``: the column of the result that later operators of the same stream take as its time."""
+    return df.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=time_mode, eventTimeColumnName=event_time
+    )
