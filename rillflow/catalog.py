@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import basic, changes, ordered, streams, warehouse, windowed
+from .plans import basic, changes, databases, ordered, streams, warehouse, windowed
 
-MODULES = (basic, windowed, ordered, warehouse, streams, changes)
+MODULES = (basic, windowed, ordered, warehouse, streams, changes, databases)
 FLAGSHIP = "w10_province_stats"
 
 

@@ -62,11 +62,10 @@ def window_top_n(df: DataFrame, ts: str, size: str, keys: list[str], aggs: list[
     return top_n(per, ["window_start", "window_end", *within], rank_by, n)
 
 
-def stream_top_n(df: DataFrame, keys: list[str], score: str, columns: list[str], n: int) -> DataFrame:
-    """Top n without ranking functions, as a second aggregation that a stream allows: (keys, rn, columns)."""
-    best = F.slice(F.sort_array(F.collect_list(F.struct(score, *columns)), asc=False), 1, n)
-    each = df.groupBy(*keys).agg(best.alias("__t")).select(*keys, F.posexplode("__t").alias("__p", "__r"))
-    return each.select(*keys, (F.col("__p") + 1).alias("rn"), "__r.*")
+def struct_top_n(df: DataFrame, keys: list[str], score: str, columns: list[str], n: int) -> DataFrame:
+    """(keys, rn, score, columns): the n greatest rows of each key by score, then columns. Spark keeps n rows of a key in
+    each task before they meet; on a stream, ``streaming.changes.top_changes`` keeps them up."""
+    return top_n(df, keys, [F.desc(score), *[F.desc(c) for c in columns]], n).select(*keys, "rn", score, *columns)
 
 
 def top_two(df: DataFrame, keys: list[str], value: str) -> DataFrame:

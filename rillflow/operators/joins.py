@@ -56,20 +56,21 @@ def asof_join(left: DataFrame, versions: DataFrame, on: list[str], left_ts: str,
     return filled.select(*names, *[F.col(f"__v.{c}").alias(c) for c in columns])
 
 
-def range_lookup(df: DataFrame, rules: DataFrame, value: str, low: str, high: str, cell: int, default: dict[str, Column], max_cells: int = 4096) -> DataFrame:
+def range_lookup(df: DataFrame, rules: DataFrame, value: str, low: str, high: str, cell: int, default: dict[str, Column], max_cells: int = 4096, levels: int | None = None) -> DataFrame:
     """Each row with the rule whose range (ends included) holds its value, or the default; ranges do not overlap.
 
     Ranges are laid over cells and meet values by equality. A range that would span more than ``max_cells`` cells goes to
-    a level whose cells are ``max_cells`` times as wide, and so on, up to any range of 64-bit numbers; each level in use
-    is one join. Rows with a null value and rules with a null bound match nothing.
+    a level whose cells are ``max_cells`` times as wide, and so on, up to any range of 64-bit numbers; each level is one
+    join. ``levels``: where ranges are known to be no wider than so many levels take, only these are joined (the last one
+    takes what is wider still). Nothing is read while the plan is made. Rows with a null value and rules with a null bound
+    match nothing.
     """
     wide = [float(cell)]
-    while wide[-1] * max_cells < 2.0**64:
+    while wide[-1] * max_cells < 2.0**64 and len(wide) != levels:
         wide.append(wide[-1] * max_cells)
     at = lambda c, size: F.floor(F.col(c) / F.lit(size))
     level = sum((F.when(at(high, size) - at(low, size) >= max_cells, 1).otherwise(0) for size in wide[:-1]), F.lit(0))
-    used = sorted(r[0] for r in rules.select(level.alias("level")).distinct().collect()) or [0]
-    out = df
+    used, out = range(len(wide)), df
     for k in used:
         name = lambda c, k=k: f"__{k}_{c}"
         cells = F.explode(F.sequence(at(low, wide[k]), at(high, wide[k]))).alias(name("cell"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,23 +68,35 @@ def pattern_pair(df: DataFrame, key: str, order_by: list[str], action: str, patt
 def periodic_count(df: DataFrame, key: str, ts: str, order_by: str, period_s: int) -> DataFrame:
     """(key, fired_us, n): the cumulative count of a key, sent a period after the first row that no timer waits for.
 
-    Whether a row sets a timer depends on the one before that did, so each key is read in order, in pieces of Arrow
-    batches; a key's rows are numbers only.
+    Whether a row sets a timer depends on the one before that did, so each key is read in order: rows are dealt by key,
+    sorted by Spark, and read batch by batch; only (key, count, timer) is held. Rows without a time count for no timer.
     """
-    slim = df.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(order_by).alias("o"))
-
-    def fire(pdf: pd.DataFrame) -> pd.DataFrame:
-        us = pdf.sort_values("o")["us"].to_numpy()
-        out, due = [], None
-        for n, t in enumerate(us):
-            if due is not None and t >= due:
-                out.append((due, n))
-                due = None
-            if due is None:
-                due = t + period_s * 1_000_000
+    kind = df.schema[key].dataType
+    slim = df.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(order_by).alias("o")).where("us is not null")
+    dealt = slim.repartition("key").sortWithinPartitions("key", "o").drop("o")
+
+    def fire(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, due = None, 0, None
+        for batch in batches:
+            out = []
+            for k, t in zip(batch.column("key").to_pylist(), batch.column("us").to_pylist()):
+                if k != now or not n:
+                    if due is not None:
+                        out.append((now, due, n))
+                    now, n, due = k, 0, None
+                if due is not None and t >= due:
+                    out.append((k, due, n))
+                    due = None
+                if due is None:
+                    due = t + period_s * 1_000_000
+                n += 1
+            if out:
+                yield _rows(out, batch.column("key").type)
         if due is not None:
-            out.append((due, len(us)))
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]] * len(out), "fired_us": [d for d, _ in out], "n": [n for _, n in out]})
+            yield _rows([(now, due, n)], batch.column("key").type)
+
+    def _rows(out: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
+        k, us, n = zip(*out)
+        return pa.record_batch({"key": pa.array(k, key_type), "fired_us": pa.array(us, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    kind = dict(slim.dtypes)["key"]
-    return slim.groupBy("key").applyInPandas(fire, f"key {kind}, fired_us long, n long").withColumnRenamed("key", key)
+    return dealt.mapInArrow(fire, f"key {kind.simpleString()}, fired_us long, n long").withColumnRenamed("key", key)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,21 +56,25 @@ def count_window(df: DataFrame, keys: list[str], order_by: list[str], n: int, sl
     return numbered.withColumn("window_no", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))).drop("__rn", "__all")
 
 
-#: Pieces of the order that a running maximum is taken in.
-PIECES = 1000
+#: Rows of a piece of the order that a running maximum is taken in, about.
+PIECE_ROWS = 1_000_000
 
 
 def high_water(df: DataFrame, value: Column, order_by: str, into: str, own: bool = True) -> DataFrame:
     """``df`` with the greatest ``value`` of all rows up to its own (or only before it) in the order of a number.
 
-    The order is cut into PIECES of equal width, whatever the table's size. Within a piece a window runs over its rows;
-    what came before it is the running maximum of the pieces' own, so only PIECES rows meet in one task. Rows without
-    an order come first.
+    The order is cut at quantiles into as many pieces as the rows ask for, so an outlier makes no large piece. Within a
+    piece a window runs over its rows; what came before it is the running maximum of the pieces' own, so one row for
+    each piece meets in one task. Rows without an order come first.
     """
-    low, high = df.agg(F.min(order_by).cast("double"), F.max(order_by).cast("double")).first()
-    width = max(1.0, ((high or 0) - (low or 0)) / PIECES)
-    piece = F.coalesce(F.floor((F.col(order_by) - F.lit(low or 0)) / width), F.lit(-1))
-    marked = df.withColumn("__value", value).withColumn("__piece", piece)
+    pieces = -(-df.count() // PIECE_ROWS)
+    edges = sorted(set(df.approxQuantile(order_by, [k / pieces for k in range(1, pieces)], 0.25 / pieces))) if pieces > 1 else []
+    piece = F.lit(0)
+    if edges:
+        place = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="__order", outputCol="__place", handleInvalid="keep")
+        df = place.transform(df.withColumn("__order", F.col(order_by).cast("double"))).drop("__order")
+        piece = F.when(F.col(order_by).isNull(), F.lit(-1)).otherwise(F.col("__place").cast("int"))
+    marked = df.withColumn("__value", value).withColumn("__piece", piece).drop("__place")
     tops = marked.groupBy("__piece").agg(F.max("__value").alias("__top"))
     before = tops.withColumn("__before", F.max("__top").over(Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1))).drop("__top")
     within = F.max("__value").over(Window.partitionBy("__piece").orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0 if own else -1))

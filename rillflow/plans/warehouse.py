@@ -113,22 +113,20 @@ def w8_visitor_stats(s, d):
 
 
 def w9_product_stats(s, d):
-    """Clicks of events and orders, payments and refunds of line items by part, with the part's dimensions."""
-    line = table(s, d, "lineitem").withColumn("dt", F.date_trunc("month", "l_shipdate").cast("timestamp_ntz"))
-    e = table(s, d, "events").withColumn("part", F.col("event_id") % 100).withColumn("dt", F.date_trunc("month", "ts").cast("timestamp_ntz"))
-    paid = line.where("l_linestatus = 'F'")
-    cols = ["click_ct", "display_ct", "order_sku_num", "order_amount", "paid_amount", "refund_amount"]
-    one, price = F.lit(1), F.col("l_extendedprice")
-    named = lambda df, key: df.withColumn("sku", F.col(key))
-    frames = [
-        (named(e.where("event_type = 'click'"), "part"), {"click_ct": one}), (named(e.where("event_type = 'view'"), "part"), {"display_ct": one}),
-        (named(line, "l_partkey"), {"order_sku_num": F.col("l_quantity"), "order_amount": price}), (named(paid, "l_partkey"), {"paid_amount": price}),
-        (named(line.where("l_returnflag = 'R'"), "l_partkey"), {"refund_amount": price}),
-    ]
-    stats = project.union_measures(frames, ["dt", "sku"], cols).groupBy("dt", "sku").agg(*[money(c, c) for c in cols])
-    distinct = line.groupBy("dt", F.col("l_partkey").alias("sku")).agg(F.count_distinct("l_orderkey").alias("order_ct"), F.count_distinct(F.when(F.col("l_linestatus") == "F", F.col("l_orderkey"))).alias("paid_order_ct"))
-    wide = joins.enrich(stats.join(distinct, ["dt", "sku"], "left"), [(table(s, d, "part"), "sku", "p_partkey", {"p_name": "sku_name", "p_brand": "brand"})])
-    return wide.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("order_ct", "paid_order_ct")})
+    """Clicks of events and orders, payments and refunds of line items by part, with the part's dimensions. Each table is read
+    once; lines are grouped by order first, so that no row is expanded for a distinct count."""
+    month = lambda c: F.date_trunc("month", c).cast("timestamp_ntz").alias("dt")
+    kind, paid = F.col("event_type"), F.col("l_linestatus") == "F"
+    seen = table(s, d, "events").where(kind.isin("click", "view")).groupBy(month("ts"), (F.col("event_id") % 100).alias("sku")).agg(F.count_if(kind == "click").alias("click_ct"), F.count_if(kind == "view").alias("display_ct"))
+    exact = lambda c: F.col(c).cast("decimal(18,2)")
+    price = exact("l_extendedprice")
+    sums = {"order_sku_num": exact("l_quantity"), "order_amount": price, "paid_amount": F.when(paid, price), "refund_amount": F.when(F.col("l_returnflag") == "R", price)}
+    orders = table(s, d, "lineitem").groupBy(month("l_shipdate"), F.col("l_partkey").alias("sku"), "l_orderkey").agg(*[F.sum(c).alias(m) for m, c in sums.items()], F.max(paid).alias("paid"))
+    sold = orders.groupBy("dt", "sku").agg(*[F.sum(m).alias(m) for m in sums], F.count("*").alias("order_ct"), F.count_if("paid").alias("paid_order_ct"))
+    measures = ["click_ct", "display_ct", *sums, "order_ct", "paid_order_ct"]
+    both = seen.unionByName(sold, allowMissingColumns=True).groupBy("dt", "sku")
+    stats = both.agg(*[F.coalesce(F.sum(m), F.lit(0)).cast("long" if m in measures[-2:] else "double").alias(m) for m in measures])
+    return joins.enrich(stats, [(table(s, d, "part"), "sku", "p_partkey", {"p_name": "sku_name", "p_brand": "brand"})])
 
 
 _TEN = "10 seconds"

@@ -180,7 +180,7 @@ def j19_unnest(s, d):
 def j22_range_lookup(s, d):
     rules = table(s, d, "nation").select((F.col("n_nationkey") * 40_000).cast("long").alias("low"), (F.col("n_nationkey") * 40_000 + 30_000).cast("long").alias("high"), "n_name")
     o = table(s, d, "orders").select("o_orderkey", F.floor("o_totalprice").alias("price"))
-    return joins.range_lookup(o, rules, "price", "low", "high", 10_000, {"n_name": F.lit("-1")}).select("o_orderkey", "n_name")
+    return joins.range_lookup(o, rules, "price", "low", "high", 10_000, {"n_name": F.lit("-1")}, levels=1).select("o_orderkey", "n_name")
 
 
 def k13_retractions(s, d):
@@ -206,7 +206,7 @@ def r2_window_top(s, d):
 
 def r2_stream_form(s, d):
     per = windows.tumble(_events(s, d), "ts", "1 day", ["user_id"], [F.count("*").alias("n"), F.max("value").alias("top")])
-    return aggs.stream_top_n(per, ["window_start"], "n", ["top", "user_id"], 2).select("window_start", "rn", "n", "top")
+    return aggs.struct_top_n(per, ["window_start"], "n", ["top", "user_id"], 2).select("window_start", "rn", "n", "top")
 
 
 def r3_raw_top(s, d):
