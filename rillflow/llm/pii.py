@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -95,10 +96,18 @@ def _overlap(a: int, b: int, x: int, y: int) -> float:
     return max(0, min(b, y) - max(a, x)) / (max(b, y) - min(a, x))
 
 
+#: Ways to write @ and . of an address, all of which the generator reads.
+_AT_FORMS = [" at ", " (at) ", "(at)", "[at]", " [at] ", "{at}"]
+_DOT_FORMS = [" dot ", ".", "[dot]", " (dot) "]
+
+
 def disguised(kind: int, value: str) -> str:
-    """The same datum written so that the strict rules miss it; the trees learn such forms from it."""
+    """The same datum written so that the strict rules miss it; the trees learn such forms from it. Which form is left to a
+    hash of the value."""
     if kind == 0:
-        return value.replace("@", " at " if len(value) % 2 else " (at) ").replace(".", " dot " if len(value) % 3 else ".")
+        form = crc32(value.encode())
+        local, _, domain = value.partition("@")
+        return local + _AT_FORMS[form % len(_AT_FORMS)] + domain.replace(".", _DOT_FORMS[form // 7 % len(_DOT_FORMS)])
     if kind == 1:
         return value.replace(".", "[.]")
     if kind == 2:
