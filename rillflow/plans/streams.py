@@ -95,20 +95,62 @@ def t28_stream(s, d):
     return runner.collected(out).where("user_id >= 0").drop("batch_no")
 
 
-def t9_stream(s, d):
-    """Windows of the clock, by each batch's own time. Their bounds change from run to run, so the counts of each kind of
-    window are summed: a row is in one tumbling window, two sliding ones and one session."""
-    rows = _stream(s, d).select("event_type", F.current_timestamp().alias("clock"))
-    n, keys = [F.count("*").alias("n")], ["event_type"]
-    tumbling = runner.collected(windows.tumble(rows, "clock", "10 seconds", keys, n), "update")
-    sliding = runner.collected(windows.hop(rows, "clock", "10 seconds", "5 seconds", keys, n), "update")
-    sessions = runner.collected(windows.session(rows, "clock", "10 seconds", keys, n), "complete")
+def clock_windows(rows, clock: F.Column, keys: list[str]):
+    """Tumbling, sliding and session windows by a clock that each row is given when it is processed, with their counts; the
+    last update of each window."""
+    timed, n = rows.select(*keys, clock.alias("clock")), [F.count("*").alias("n")]
     bounds = ["window_start", "window_end", *keys]
-    frames = [("tumbling", runner.latest(tumbling, bounds)), ("sliding", runner.latest(sliding, bounds)), ("session", sessions.join(sessions.agg(F.max("batch_no").alias("batch_no")), "batch_no", "left_semi"))]
-    parts = [df.groupBy(F.lit(kind).alias("kind"), "event_type").agg(F.sum("n").alias("n")) for kind, df in frames]
+    tumbling = runner.latest(runner.collected(windows.tumble(timed, "clock", "10 seconds", keys, n), "update"), bounds)
+    sliding = runner.latest(runner.collected(windows.hop(timed, "clock", "10 seconds", "5 seconds", keys, n), "update"), bounds)
+    sessions = runner.collected(windows.session(timed, "clock", "10 seconds", keys, n), "complete")
+    sessions = sessions.join(sessions.agg(F.max("batch_no").alias("batch_no")), "batch_no", "left_semi")
+    parts = [df.select(F.lit(kind).alias("kind"), *bounds, "n") for kind, df in (("tumbling", tumbling), ("sliding", sliding), ("session", sessions))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def t9_stream(s, d):
+    """Windows of a clock that stands in for the machine's, three seconds a row, so that their bounds can be compared."""
+    return ntz(clock_windows(_stream(s, d), F.timestamp_seconds(1_700_000_000 + F.col("event_id") * 3), ["event_type"]))
+
+
+def t19_stream(s, d):
+    """Windows of ten hours that fire each hour of event time and at their end."""
+    events = runner.with_sentinel(table(s, d, "events"), "ts", "event_id").fillna(-1, ["user_id"])
+    rows = runner.as_stream(events, "event_id", 3).withWatermark("ts", "10 minutes").select("user_id", "ts", F.unix_millis("ts").alias("ms"))
+    out = stateful.apply(rows, ["user_id"], stateful.StepTrigger(36_000_000, 3_600_000), "user_id long, window_start_ms long, fired_ms long, n long", time_mode="EventTime")
+    return runner.collected(out).where("user_id >= 0").drop("batch_no")
+
+
+def t22_stream(s, d):
+    """A timer of event time ten seconds after each row."""
+    events = runner.with_sentinel(table(s, d, "events"), "ts", "event_id").fillna(-1, ["user_id"])
+    rows = runner.as_stream(events, "event_id", 3).withWatermark("ts", "10 minutes").select("user_id", "ts", F.unix_millis("ts").alias("ms"))
+    out = stateful.apply(rows, ["user_id"], stateful.RowTimer(10_000), "user_id long, fired_ms long", time_mode="EventTime")
+    return runner.collected(out).where("user_id >= 0").drop("batch_no")
+
+
+def k2_rolled_files(s, d):
+    """Lines of each day in files of 2000 bytes, eight hours, or up to two hours without a row, read back."""
+    path = readers.fresh_dir(s)
+    lines = table(s, d, "events").select("event_id", "ts", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.concat_ws(",", "event_id", "user_id", "event_type").alias("line"))
+    sinks.write_rolled(lines, path, "line", "day", "ts", "event_id", 2000, 8 * 3600, 2 * 3600, "log", ".csv")
+    back = s.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("f"), "value")
+    name = F.regexp_extract("f", r"([^/]+)/log-(\d+)\.csv$", 1)
+    return back.groupBy(name.alias("day"), F.regexp_extract("f", r"/log-(\d+)\.csv$", 1).cast("int").alias("file_no")).agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.min(F.split_part("value", F.lit(","), F.lit(1)).cast("long")).alias("first_id"))
+
+
+def k6_partition_commit(s, d):
+    """Hours of events as JSON folders; an hour is committed an hour after its end."""
+    path = readers.fresh_dir(s)
+    runner.run_to_end(_stream(s, d), sinks.partition_commit(path, "ts"))
+    rows = s.read.option("basePath", path).schema("event_id long").json(f"{path}/dt=*/hour=*/batch_no=*").select("event_id", F.col("_metadata.file_path").alias("f"))
+    folder = rows.withColumn("dt", F.regexp_extract("f", "dt=([^/]+)", 1)).withColumn("hour", F.regexp_extract("f", "hour=([^/]+)", 1))
+    at = s._jvm.org.apache.hadoop.fs.Path(f"{path}/dt=*/hour=*/_SUCCESS")
+    found = at.getFileSystem(s._jsc.hadoopConfiguration()).globStatus(at)
+    marks = s.createDataFrame([(str(f.getPath()),) for f in found], "path string").select(F.regexp_extract("path", "dt=([^/]+)", 1).alias("dt"), F.regexp_extract("path", "hour=([^/]+)", 1).alias("hour"), F.lit(True).alias("committed"))
+    return folder.groupBy("dt", "hour").agg(F.count("*").alias("n")).join(marks, ["dt", "hour"], "left").withColumn("committed", F.coalesce("committed", F.lit(False)))
+
+
 def k12_keyed_sink(s, d):
     """A keyed table that every micro-batch updates."""
     path = readers.fresh_dir(s)
@@ -154,7 +196,11 @@ QUERIES = {
     "t24_ttl_stream": (t24_stream, "select event_id, user_id, strftime(ts, '%Y-%m-%d') as day from events where event_type = 'view' qualify lag(cast(ts as date)) over (partition by user_id order by event_id) is distinct from cast(ts as date)"),
     "t23_state_stream": (t23_stream, "select event_id, count(*) over (partition by user_id, event_type order by event_id) as n_kind, max(cast(round(value * 100) as bigint)) over w as top, cast(sum(cast(round(value * 100) as bigint)) over w as double) / count(*) over w as mean from events window w as (partition by user_id order by event_id)"),
     "t28_map_window_stream": (t28_stream, "select user_id, epoch_ms(ts) // 21600000 * 21600000 as window_start_ms, count(*) as n from events group by all"),
-    "t9_clock_windows_stream": (t9_stream, "select kind, event_type, cast(sum(n) as bigint) as n from events, (values ('tumbling', 1), ('sliding', 2), ('session', 1)) as k(kind, n) group by all"),
+    "t9_clock_windows_stream": (t9_stream, "with e as (select event_type, 1700000000 + event_id * 3 as c from events), w as (select 'tumbling' as kind, c // 10 * 10 as a, c // 10 * 10 + 10 as b, event_type from e union all select 'sliding', k * 5, k * 5 + 10, event_type from (select *, unnest([c // 5 - 1, c // 5]) as k from e) union all select 'session', min(c) over p, max(c) over p + 10, event_type from (select *, sum(new) over (partition by event_type order by c) as s from (select *, case when c - lag(c) over (partition by event_type order by c) < 10 then 0 else 1 end as new from e)) window p as (partition by event_type, s)) select kind, make_timestamp(a * 1000000) as window_start, make_timestamp(b * 1000000) as window_end, event_type, count(*) as n from w group by all"),
+    "t19_trigger_stream": (t19_stream, "with e as (select user_id, epoch_us(ts) // 1000 as ms from events), w as (select user_id, ms // 36000000 * 36000000 as start, min(ms) as first from e group by all), f as (select user_id, start, unnest(range(first // 3600000 + 1, start // 3600000 + 11)) * 3600000 as fired from w) select f.user_id, start as window_start_ms, fired as fired_ms, count(*) as n from f join e on e.user_id = f.user_id and ms >= start and ms < fired group by all"),
+    "t22_row_timer_stream": (t22_stream, "select distinct user_id, epoch_us(ts) // 1000 + 10000 as fired_ms from events"),
+    "k2_rolled_files": (k2_rolled_files, "with l as (select event_id, epoch_us(ts) as us, strftime(ts, '%Y-%m-%d') as day, strlen(event_id || ',' || user_id || ',' || event_type) + 1 as b from events), q as (select *, sum(quiet) over (partition by day order by event_id) as st from (select *, case when us - lag(us) over (partition by day order by event_id) >= 7200000000 then 1 else 0 end as quiet from l)), t as (select *, (us - min(us) over (partition by day, st)) // 28800000000 as turn from q), x as (select *, coalesce(sum(b) over (partition by day, st, turn order by event_id rows between unbounded preceding and 1 preceding), 0) // 2000 as part from t), n as (select *, dense_rank() over (partition by day order by st, turn, part) as file_no from x) select day, cast(file_no as integer) as file_no, count(*) as n, cast(sum(b) as bigint) as bytes, min(event_id) as first_id from n group by all"),
+    "k6_partition_commit": (k6_partition_commit, "with h as (select date_trunc('hour', ts) as h, count(*) as n from events group by 1) select strftime(h, '%Y-%m-%d') as dt, strftime(h, '%H') as hour, n, h + interval 2 hour <= (select max(ts) from events) as committed from h"),
     "k3_text_sink": (k3_text_sink, "select o_orderkey, o_custkey, o_orderstatus from orders"),
     "k4_columnar_sink": (k4_columnar_sink, "select strftime(ts, '%Y-%m-%d--%H') as bucket, count(*) as n, max(event_id) as last_id from events group by 1"),
     "k8_topic_records": (k8_topic_records, "select 'dwd_' || event_type as topic, count(*) as n, max(event_id) as last_id from events group by 1"),

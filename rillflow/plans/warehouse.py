@@ -6,7 +6,7 @@ for the dimensions. Each layer is a function of frames, so batch and stream use
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -37,7 +37,8 @@ def w2_page_log(s, d):
     raw = page_log(table(s, d, "events"))
     repaired = sequences.repair_is_new(raw, "mid", ["event_id"])
     routed = project.route(repaired, {"start": F.col("event_type") == "signup"}, rest="page")
-    shown = routed.where("route = 'page' and event_type = 'error'").withColumn("route", F.lit("display"))
+    displays = F.when(F.pmod("during", F.lit(4)) > 0, F.sequence(F.lit(1).cast("long"), F.pmod("during", F.lit(4))))  # what the page showed
+    shown = routed.where("route = 'page' and event_type = 'error'").withColumn("shown", F.explode(displays)).drop("shown").withColumn("route", F.lit("display"))
     return routed.unionByName(shown).groupBy("route", "is_new").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
 
 
@@ -59,7 +60,7 @@ def w3_fact_dim_routing(s, d):
 def order_wide(s, d) -> DataFrame:
     o = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus")
     line = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    wide = joins.interval_join(o, line, [("o_orderkey", "l_orderkey")], "o_orderdate", "l_shipdate", "-5 days", "3650 days")
+    wide = joins.interval_join(o, line, [("o_orderkey", "l_orderkey")], "o_orderdate", "l_shipdate", "-5 days", "1000 days")
     dims = [
         (table(s, d, "customer"), "o_custkey", "c_custkey", {"c_mktsegment": "segment", "c_nationkey": "nation"}),
         (table(s, d, "nation"), "nation", "n_nationkey", {"n_name": "province", "n_regionkey": "region"}),
@@ -71,7 +72,7 @@ def order_wide(s, d) -> DataFrame:
     return out.withColumns({"create_date": F.date_format("o_orderdate", "yyyy-MM-dd"), "age": scalars.age("o_orderdate", F.lit("2024-01-01").cast("date"))})
 
 
-_WIDE = "orders join lineitem on o_orderkey = l_orderkey and l_shipdate between o_orderdate - interval 5 day and o_orderdate + interval 3650 day left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey left join part on l_partkey = p_partkey left join supplier on l_suppkey = s_suppkey"
+_WIDE = "orders join lineitem on o_orderkey = l_orderkey and l_shipdate between o_orderdate - interval 5 day and o_orderdate + interval 1000 day left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey left join part on l_partkey = p_partkey left join supplier on l_suppkey = s_suppkey"
 
 
 def w4_order_wide(s, d):
@@ -81,7 +82,7 @@ def w4_order_wide(s, d):
 def w5_payment_wide(s, d):
     """Payments (finished orders) joined to order details that came within the bound before them."""
     wide = order_wide(s, d).select("o_orderkey", "l_linenumber", "o_orderdate", "l_extendedprice", "province")
-    paid = table(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("pay_order"), (F.col("o_orderdate") + F.expr("interval 10 minutes")).alias("pay_time"), F.col("o_totalprice").alias("payment"))
+    paid = table(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("pay_order"), (F.col("o_orderdate") + F.expr("make_dt_interval(0, 0, cast(o_orderkey % 30 as int))")).alias("pay_time"), F.col("o_totalprice").alias("payment"))
     out = joins.interval_join(paid, wide, [("pay_order", "o_orderkey")], "pay_time", "o_orderdate", "-15 minutes", "5 seconds")
     return out.select("pay_order", "l_linenumber", "payment", "province", F.date_format("pay_time", "yyyy-MM-dd HH:mm:ss").alias("pay_text"))
 
@@ -95,17 +96,18 @@ def w7_bounce(s, d):
 
 
 def visitor_stats(log: DataFrame, size: str = "1 day") -> DataFrame:
-    """uv, pv, sv, uj and time by area, channel and newness in windows: four streams of half-filled rows, summed."""
-    keys, measures = ["ts", "ar", "ch", "is_new"], ["uv_ct", "pv_ct", "sv_ct", "uj_ct", "dur_sum"]
-    entry = F.col("last_page_id").isNull()
-    one = F.lit(1)
-    frames = [
-        (sequences.daily_first(log, "mid", "ts", ["event_id"], entry), {"uv_ct": one}),
-        (log, {"pv_ct": one, "dur_sum": F.col("during")}),
-        (log.where(entry), {"sv_ct": one}),
-        (sequences.bounce(log, "mid", "ts", ["event_id"], entry, 10), {"uj_ct": one}),
-    ]
-    return windows.tumble(project.union_measures(frames, keys, measures), "ts", size, ["ar", "ch", "is_new"], [F.sum(m).alias(m) for m in measures])
+    """uv, pv, sv, uj and time by area, channel and newness in windows. The log is laid in each visitor's order once, which
+    tells entries, first entries of a day and bounces; one aggregate follows."""
+    own = Window.partitionBy("mid").orderBy("event_id")
+    entry, day, us = F.col("last_page_id").isNull(), F.to_date("ts"), F.unix_micros(F.col("ts").cast("timestamp"))
+    before = F.last(F.when(entry, day), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    gap = F.lead(us).over(own) - us
+    marked = log.select(
+        "ts", "ar", "ch", "is_new", "during", entry.alias("sv"), (entry & (before.isNull() | (before != day))).alias("uv"),
+        (entry & (gap.isNull() | F.lead(entry).over(own) | (gap >= 10_000_000))).alias("uj"),
+    )
+    count = lambda c: F.count_if(c).cast("double").alias(f"{c}_ct")
+    return windows.tumble(marked, "ts", size, ["ar", "ch", "is_new"], [count("uv"), F.count("*").cast("double").alias("pv_ct"), count("sv"), count("uj"), F.sum("during").cast("double").alias("dur_sum")])
 
 
 def w8_visitor_stats(s, d):
@@ -203,10 +205,10 @@ _MONTH = lambda c: f"date_trunc('month', {c})"
 
 QUERIES = {
     "w1_change_capture": (w1_change_capture, "select 'shop.user_info' as topic, cast(c_custkey as varchar) as key, 'insert' as type, '{\"id\":\"' || c_custkey || '\",\"name\":\"' || c_name || '\"}' as value from customer"),
-    "w2_page_log": (w2_page_log, f"with log as ({_LOG}), r as (select *, case when is_new = 1 and sum(is_new) over (partition by mid order by event_id rows unbounded preceding) > 1 then 0 else is_new end as fixed from log), o as (select case when event_type = 'signup' then 'start' else 'page' end as route, fixed, event_id, event_type from r) select route, fixed as is_new, count(*) as n, max(event_id) as last_id from (select * from o union all select 'display', fixed, event_id, event_type from o where event_type = 'error') group by all"),
+    "w2_page_log": (w2_page_log, f"with log as ({_LOG}), r as (select *, case when is_new = 1 and sum(is_new) over (partition by mid order by event_id rows unbounded preceding) > 1 then 0 else is_new end as fixed from log), o as (select case when event_type = 'signup' then 'start' else 'page' end as route, fixed, event_id, event_type, during from r) select route, fixed as is_new, count(*) as n, max(event_id) as last_id from (select * exclude during from o union all select 'display', fixed, event_id, event_type from o, range(during % 4) where event_type = 'error') group by all"),
     "w3_fact_dim_routing": (w3_fact_dim_routing, "select 'dwd_order_info' as sink_table, count(*) as n, 1 as columns, null as last_name from orders where o_orderstatus <> 'P' union all select 'dim_user_info', count(*), 2, max(name) from (select c_custkey % 700 as id, arg_max(c_name, c_custkey) as name from customer group by 1)"),
     "w4_order_wide": (w4_order_wide, f"select o_orderkey, l_linenumber, strftime(o_orderdate, '%Y-%m-%d') as create_date, cast(floor(date_diff('day', o_orderdate, date '2024-01-01') / 365) as integer) as age, c_mktsegment as segment, n_name as province, r_name as area, p_name as sku_name, p_brand as brand, s_name as supplier from {_WIDE}"),
-    "w5_payment_wide": (w5_payment_wide, f"select o_orderkey as pay_order, l_linenumber, o_totalprice as payment, n_name as province, strftime(o_orderdate + interval 10 minute, '%Y-%m-%d %H:%M:%S') as pay_text from {_WIDE} where o_orderstatus = 'F'"),
+    "w5_payment_wide": (w5_payment_wide, f"select o_orderkey as pay_order, l_linenumber, o_totalprice as payment, n_name as province, strftime(o_orderdate + to_minutes(o_orderkey % 30), '%Y-%m-%d %H:%M:%S') as pay_text from {_WIDE} where o_orderstatus = 'F' and o_orderkey % 30 <= 15"),
     "w6_unique_visit": (w6_unique_visit, f"with log as ({_LOG}) select mid, count(*) as days from ({_FIRST}) group by 1"),
     "w7_bounce": (w7_bounce, f"with log as ({_LOG}) select event_id, mid, page_id from ({_BOUNCE})"),
     "w8_visitor_stats": (w8_visitor_stats, f"with log as ({_LOG}), u as (select ts, ar, ch, is_new, 1 as uv, 0 as pv, 0 as sv, 0 as uj, 0 as dur from ({_FIRST}) union all select ts, ar, ch, is_new, 0, 1, 0, 0, during from log union all select ts, ar, ch, is_new, 0, 0, 1, 0, 0 from log where not inner_page union all select ts, ar, ch, is_new, 0, 0, 0, 1, 0 from ({_BOUNCE})) select date_trunc('day', ts) as window_start, date_trunc('day', ts) + interval 1 day as window_end, ar, ch, is_new, cast(sum(uv) as double) as uv_ct, cast(sum(pv) as double) as pv_ct, cast(sum(sv) as double) as sv_ct, cast(sum(uj) as double) as uj_ct, cast(sum(dur) as double) as dur_sum from u group by date_trunc('day', ts), ar, ch, is_new"),

@@ -205,6 +205,64 @@ class MapWindow(StatefulProcessor):
         pass
 
 
+class StepTrigger(StatefulProcessor):
+    """Tumbling windows that also fire at each step of event time after their first row: a timer for each step sends the
+    count of the window's rows before it. Map state has the rows of each step; the last fire, at the end, forgets them."""
+
+    def __init__(self, size_ms: int, step_ms: int):
+        self.size_ms, self.step_ms = size_ms, step_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "step long", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for step, n in (pdf["ms"] // self.step_ms).value_counts().items():
+                at = (int(step),)
+                before = self.counts.getValue(at)[0] if self.counts.containsKey(at) else 0
+                self.counts.updateValue(at, (before + int(n),))
+                end = (at[0] * self.step_ms // self.size_ms + 1) * self.size_ms
+                for fire in range((at[0] + 1) * self.step_ms, end + 1, self.step_ms) if not before else ():
+                    self.handle.registerTimer(fire)
+        yield pd.DataFrame({"user_id": [], "window_start_ms": [], "fired_ms": [], "n": []}).astype("int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        fire = expiredTimerInfo.getExpiryTimeInMs()
+        start = (fire - 1) // self.size_ms * self.size_ms
+        steps = [k for k in range(start // self.step_ms, fire // self.step_ms) if self.counts.containsKey((k,))]
+        n = sum(self.counts.getValue((k,))[0] for k in steps)
+        if fire == start + self.size_ms:
+            for k in steps:
+                self.counts.removeKey((k,))
+        yield pd.DataFrame({"user_id": [key[0]], "window_start_ms": [start], "fired_ms": [fire], "n": [n]})
+
+    def close(self) -> None:
+        pass
+
+
+class RowTimer(StatefulProcessor):
+    """A timer of event time for each row, ``wait_ms`` after it; each sends its time, once for rows of equal time."""
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for ms in pdf["ms"].unique().tolist():
+                self.handle.registerTimer(ms + self.wait_ms)
+        yield pd.DataFrame({"user_id": [], "fired_ms": []}).astype("int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"user_id": [key[0]], "fired_ms": [expiredTimerInfo.getExpiryTimeInMs()]})
+
+    def close(self) -> None:
+        pass
+
+
 def apply(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str = "Append", time_mode: str = "None", event_time: str = "") -> DataFrame:
     """``event_time``: the column of the result that later operators of the same stream take as its time."""
     return df.groupBy(*keys).transformWithStateInPandas(
