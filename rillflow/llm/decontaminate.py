@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, row_key, table
+from .common import cut, free_name, row_key, table
 
 WINDOW = 13
 #: Words of a shard whose suffixes are sorted together, and bytes of benchmark text that are broadcast at once.
@@ -151,7 +152,9 @@ def _hits(docs: DataFrame, tests: TestSuffixes) -> DataFrame:
                 "matches": pa.array(matches, pa.list_(_MATCH)),
             })
 
-    return docs.select(row_key().alias("key"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, HITS)
+    out = docs.select(row_key().alias("key"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, HITS)
+    out._sent = sent
+    return out
 
 
 def merged(spans) -> list[int]:
@@ -183,9 +186,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYT
     words; an item without an id makes hits but isn't named; an item without words has no window. Repeated document rows
     each return; of repeated item ids all texts count; an empty table of documents gives no row.
     """
-    parts = [_hits(docs, tests) for tests in _blocks(benchmark, block_bytes)]
-    if len(parts) == 1:
-        return parts[0]
+    blocks = _blocks(benchmark, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _hits(docs, first)
+    # Each block is searched and its result written before the driver makes the next: two of them are held at most.
+    parts = []
+    for tests in chain((first, second), blocks):
+        found = _hits(docs, tests)
+        parts.append(cut(found))
+        found._sent.destroy()
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
