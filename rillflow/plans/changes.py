@@ -66,8 +66,8 @@ def visitor_windows(log, size: str = "10 seconds", within_s: int = 10):
     part = lambda rows, **own: rows.select("at", *keys, *[own.get(m, F.lit(0)).cast("long").alias(m) for m in measures])
     bounces = patterns.find(log.withWatermark("ts", "2 seconds"), "mid", "ts", "event_id", [patterns.Step(entry), patterns.Step(entry)], within_s, keys)
     first = stateful.apply(
-        log.where(entry).withWatermark("ts", "1 second").select("mid", "event_id", "ts", F.date_format("ts", "yyyy-MM-dd").alias("day"), *keys, (F.col("ts") + later).alias("at")), ["mid"],
-        stateful.FirstOfDay("event_id", "day", ["at", *keys]), "at timestamp, ar string, ch string, is_new int", time_mode="EventTime", event_time="at",
+        log.where(entry).withWatermark("ts", "1 second").select("mid", "event_id", "ts", F.date_format("ts", "yyyy-MM-dd").alias("day"), *keys, (F.col("ts") + later).alias("at")).transform(stateful.sharded, "mid"), ["shard"],
+        stateful.FirstOfDay("mid", "event_id", "day", ["at", *keys]), "at timestamp, ar string, ch string, is_new int", time_mode="EventTime", event_time="at",
     )
     seen = log.select((F.col("ts") + later).alias("at"), "during", entry.alias("entry"), *keys).withWatermark("at", "3 seconds")
     rows = part(bounces.withColumnRenamed("ts", "at"), uj_ct=F.lit(1)).unionByName(part(first, uv_ct=F.lit(1)))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from .stateful import apply
+from .stateful import HeldRows, ShardTimer, apply, sharded, together
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,7 @@ def compiled(steps: list[Step]) -> list[tuple[int, bool]]:
 
 
 class Automaton(StatefulProcessor):
-    """Runs ``chain`` over a key's rows in the order of their time, once the watermark has passed them.
+    """Runs ``chain`` over each key's rows in the order of their time, once the watermark has passed them, for the keys of a shard.
 
     Each row that fulfils the first state begins a match of its own. A row ``within_ms`` or more after a match's first
     ends it by timeout, and so does the watermark, by a timer; a strict state that the next row doesn't fulfil ends it
@@ -42,61 +42,61 @@ class Automaton(StatefulProcessor):
         self.chain, self.within_ms = chain, within_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getListState("rows", "ms long, seq long, flags long, carried string")
-        self.open = handle.getListState("open", "seq long, ms long, state int, last long, carried string")
-        self.due = handle.getValueState("due", "ms long")
-
-    def _run(self, key, new: list[tuple], mark: int) -> Iterator[pd.DataFrame]:
-        stored = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
-        held = [tuple(r) for r in self.open.get()] if self.open.exists() else []
-        passed, waiting = [], []
-        for r in stored + new:  # rows of the watermark's own millisecond may still come
-            (passed if r[0] < mark else waiting).append(r)
-        out = []
-        for ms, seq, flags, carried in sorted(passed, key=lambda r: r[:2]):
-            out += [(*m, "timeout") for m in held if ms - m[1] >= self.within_ms]
-            kept = []
-            for first, since, state, last, own in [*(m for m in held if ms - m[1] < self.within_ms), (seq, ms, 0, seq, carried)]:
-                condition, strict = self.chain[state]
-                if flags >> condition & 1:
-                    if state + 1 == len(self.chain):
-                        out.append((first, since, state, seq, own, "match"))
-                    else:
-                        kept.append((first, since, state + 1, seq, own))
-                elif state and not strict:
-                    kept.append((first, since, state, last, own))
-            held = kept
-        out += [(*m, "timeout") for m in held if m[1] + self.within_ms <= mark]
-        held = [m for m in held if m[1] + self.within_ms > mark]
-        for state, rows in ((self.open, held), (self.rows, waiting)):
-            if rows:
-                state.put(rows)
-            elif state.exists():
-                state.clear()
-        due = min([r[0] + 1 for r in waiting] + [m[1] + self.within_ms for m in held], default=None)
-        before = self.due.get()[0] if self.due.exists() else None
-        if before != due:
-            if before is not None:
-                self.handle.deleteTimer(before)
-            if due is None:
-                self.due.clear()
+        self.rows = HeldRows(handle, "rows", {"key": "object", "ms": "int64", "seq": "int64", "flags": "int64", "carried": "object"})
+        self.open = HeldRows(handle, "open", {"key": "object", "seq": "int64", "ms": "int64", "state": "int64", "last": "int64", "carried": "object"})
+        self.timer = ShardTimer(handle)
+
+    def _step(self, held: list[tuple], row: tuple, out: list[tuple]) -> list[tuple]:
+        """The open matches of a key after a row; those that end go to ``out``."""
+        key, ms, seq, flags, carried = row
+        kept = []
+        for m in [*held, (key, seq, ms, 0, seq, carried)]:
+            _, first, since, state, last, own = m
+            if ms - since >= self.within_ms:
+                out.append((*m, "timeout"))
+                continue
+            condition, strict = self.chain[state]
+            if flags >> condition & 1:
+                if state + 1 == len(self.chain):
+                    out.append((key, first, since, state, seq, own, "match"))
+                else:
+                    kept.append((key, first, since, state + 1, seq, own))
+            elif state and not strict:
+                kept.append(m)
+        return kept
+
+    def _run(self, new: pd.DataFrame | None, mark: int) -> Iterator[pd.DataFrame]:
+        pdf = self.rows.get()
+        if new is not None:
+            pdf = pd.concat([pdf, new[list(self.rows.types)]], ignore_index=True) if len(pdf) else new
+        past = pdf["ms"] < mark  # rows of the watermark's own millisecond may still come
+        waiting, passed = pdf[~past], pdf[past].sort_values(["ms", "seq"], kind="stable")
+        held: dict[str | None, list[tuple]] = {}
+        for m in self.open.get().itertuples(index=False, name=None):
+            held.setdefault(m[0], []).append(m)
+        out: list[tuple] = []
+        for row in zip(*(passed[c].tolist() for c in self.rows.types)):
+            held[row[0]] = self._step(held.get(row[0], []), row, out)
+        left = []
+        for m in (m for own in held.values() for m in own):
+            if m[2] + self.within_ms <= mark:
+                out.append((*m, "timeout"))
             else:
-                self.handle.registerTimer(due)
-                self.due.update((due,))
-        pdf = pd.DataFrame(out, columns=["first_seq", "ms", "state", "last_seq", "carried", "kind"])
-        pdf.insert(0, "key", key[0])
+                left.append(m)
+        self.open.put(pd.DataFrame(left, columns=list(self.open.types)))
+        self.rows.put(waiting)
+        due = [m[2] + self.within_ms for m in left] + ([int(waiting["ms"].min()) + 1] if len(waiting) else [])
+        self.timer.set(min(due, default=None))
+        pdf = pd.DataFrame(out, columns=["key", "first_seq", "ms", "state", "last_seq", "carried", "kind"])
         pdf["ts"] = pd.to_datetime(pdf["ms"].astype("int64") + self.within_ms, unit="ms", utc=True)
-        yield pdf[["key", "first_seq", "last_seq", "kind", "carried", "ts"]].astype({"key": "Int64", "first_seq": "int64", "last_seq": "int64", "kind": "object", "carried": "object"})
+        yield pdf[["key", "first_seq", "last_seq", "kind", "carried", "ts"]].astype({"key": "object", "first_seq": "int64", "last_seq": "int64", "kind": "object", "carried": "object"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for pdf in rows for r in zip(*(pdf[c].tolist() for c in ("ms", "seq", "flags", "carried")))]
-        yield from self._run(key, new, timerValues.getCurrentWatermarkInMs())
+        yield from self._run(together(rows), timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.due.exists() and self.due.get()[0] == expiredTimerInfo.getExpiryTimeInMs():
-            self.due.clear()
-        yield from self._run(key, [], timerValues.getCurrentWatermarkInMs())
+        self.timer.fired(expiredTimerInfo.getExpiryTimeInMs())
+        yield from self._run(None, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -113,9 +113,10 @@ def find(rows: DataFrame, key: str, ts: str, seq: str, steps: list[Step], within
     at, own = F.col(ts).cast("timestamp"), carry or []
     flags = sum((F.when(F.coalesce(step.matches, F.lit(False)), F.lit(1 << k)).otherwise(F.lit(0)) for k, step in enumerate(steps)), F.lit(0)).cast("long")
     carried = F.to_json(F.struct(*own)) if own else F.lit("")
-    slim = rows.select(F.col(key).cast("long").alias("key"), at.alias("ts"), F.unix_millis(at).alias("ms"), F.col(seq).cast("long").alias("seq"), flags.alias("flags"), carried.alias("carried"))
-    schema = "key long, first_seq long, last_seq long, kind string, carried string, ts timestamp"
-    out = apply(slim, ["key"], Automaton(compiled(steps), within_s * 1000), schema, time_mode="EventTime", event_time="ts")
+    slim = rows.select(F.col(key).cast("long").cast("string").alias("key"), at.alias("ts"), F.unix_millis(at).alias("ms"), F.col(seq).cast("long").alias("seq"), flags.alias("flags"), carried.alias("carried"))
+    schema = "key string, first_seq long, last_seq long, kind string, carried string, ts timestamp"
+    out = apply(sharded(slim, "key"), ["shard"], Automaton(compiled(steps), within_s * 1000), schema, time_mode="EventTime", event_time="ts")
+    out = out.withColumn("key", F.col("key").cast("long"))
     if not own:
         return out.drop("carried")
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.select(*own).dtypes)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from .stateful import apply
+from .stateful import HeldRows, ShardTimer, apply, sharded, together
 
 
 class ControlTable(StatefulProcessor):
@@ -105,7 +105,8 @@ def cached_dimension(rows: DataFrame, dim: str, ts: str, seq: str, change: Colum
 
 
 class Buffer(StatefulProcessor):
-    """Holds a key's rows and sends them ``n`` at a time, or what there is ``wait_ms`` after the first that waits.
+    """Holds each key's rows and sends them ``n`` at a time, or what there is ``wait_ms`` after the first that waits, for the
+    keys of a shard.
 
     The time is that of the rows: one that comes so late or later first sends what waits, and where none comes the
     watermark does. Held rows are state, so a stream that is stopped and started again sends them with the next ones.
@@ -115,51 +116,43 @@ class Buffer(StatefulProcessor):
         self.n, self.wait_ms = n, wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", "seq long, ms long")
-        self.sent = handle.getValueState("sent", "n long")
-
-    def _send(self, out: list, held: list, key, no: int) -> int:
-        out.append((key[0], no + 1, len(held), held[0][0], held[-1][0]))
-        held.clear()
-        return no + 1
-
-    def _keep(self, held: list, due: int | None, no: int) -> None:
-        after = held[0][1] + self.wait_ms if held else None
-        self.sent.update((no,))
-        if held:
-            self.held.put(held)
-        elif self.held.exists():
-            self.held.clear()
-        if due != after:
-            if due is not None:
-                self.handle.deleteTimer(due)
-            if after is not None:
-                self.handle.registerTimer(after)
-
-    def _frame(self, out: list) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["bucket", "chunk_no", "n", "first_seq", "last_seq"]).astype("int64")
+        self.held = HeldRows(handle, "held", {"bucket": "object", "seq": "int64", "ms": "int64"})
+        self.sent = HeldRows(handle, "sent", {"bucket": "object", "n": "int64"})
+        self.timer = ShardTimer(handle)
+
+    def _run(self, new: pd.DataFrame | None, due: int | None) -> Iterator[pd.DataFrame]:
+        """``due``: what waits for this time or an earlier one is sent after the rows."""
+        held: dict[str | None, list] = {}
+        for bucket, seq, ms in self.held.get().itertuples(index=False, name=None):
+            held.setdefault(bucket, []).append((seq, ms))
+        sent, out = dict(self.sent.get().itertuples(index=False, name=None)), []
+
+        def send(bucket, own: list) -> None:
+            sent[bucket] = sent.get(bucket, 0) + 1
+            out.append((bucket, sent[bucket], len(own), own[0][0], own[-1][0]))
+            own.clear()
+
+        for bucket, seq, ms in zip(*(new[c].tolist() for c in ("bucket", "seq", "ms"))) if new is not None else ():
+            own = held.setdefault(bucket, [])
+            if own and ms >= own[0][1] + self.wait_ms:
+                send(bucket, own)
+            own.append((seq, ms))
+            if len(own) == self.n:
+                send(bucket, own)
+        for bucket, own in held.items():
+            if due is not None and own and own[0][1] + self.wait_ms <= due:
+                send(bucket, own)
+        self.held.put(pd.DataFrame([(bucket, *r) for bucket, own in held.items() for r in own], columns=list(self.held.types)))
+        self.sent.put(pd.DataFrame(list(sent.items()), columns=list(self.sent.types)))
+        self.timer.set(min((own[0][1] + self.wait_ms for own in held.values() if own), default=None))
+        yield pd.DataFrame(out, columns=["bucket", "chunk_no", "n", "first_seq", "last_seq"]).astype({"bucket": "object", "chunk_no": "int64", "n": "int64", "first_seq": "int64", "last_seq": "int64"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
-        no, due, out = self.sent.get()[0] if self.sent.exists() else 0, held[0][1] + self.wait_ms if held else None, []
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-        for seq, ms in zip(pdf["seq"].tolist(), pdf["ms"].tolist()):
-            if held and ms >= held[0][1] + self.wait_ms:
-                no = self._send(out, held, key, no)
-            held.append((seq, ms))
-            if len(held) == self.n:
-                no = self._send(out, held, key, no)
-        self._keep(held, due, no)
-        yield self._frame(out)
+        yield from self._run(together(rows, "seq"), None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
-        no, out = self.sent.get()[0] if self.sent.exists() else 0, []
-        if held and held[0][1] + self.wait_ms <= expiredTimerInfo.getExpiryTimeInMs():
-            no = self._send(out, held, key, no)
-            self._keep(held, None, no)
-        yield self._frame(out)
+        self.timer.fired(expiredTimerInfo.getExpiryTimeInMs())
+        yield from self._run(None, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -169,5 +162,6 @@ def buffered(rows: DataFrame, bucket: Column, ts: str, seq: str, n: int, wait_s:
     """(bucket, chunk_no, n, first_seq, last_seq) of each chunk that a buffer of ``n`` rows sends, one buffer for each bucket;
     the stream has a watermark on ``ts``."""
     at = F.col(ts).cast("timestamp")
-    slim = rows.select(bucket.cast("long").alias("bucket"), at.alias("ts"), F.unix_millis(at).alias("ms"), F.col(seq).cast("long").alias("seq"))
-    return apply(slim, ["bucket"], Buffer(n, wait_s * 1000), "bucket long, chunk_no long, n long, first_seq long, last_seq long", time_mode="EventTime")
+    slim = rows.select(bucket.cast("long").cast("string").alias("bucket"), at.alias("ts"), F.unix_millis(at).alias("ms"), F.col(seq).cast("long").alias("seq"))
+    out = apply(sharded(slim, "bucket"), ["shard"], Buffer(n, wait_s * 1000), "bucket string, chunk_no long, n long, first_seq long, last_seq long", time_mode="EventTime")
+    return out.withColumn("bucket", F.col("bucket").cast("long"))
