@@ -6,7 +6,7 @@ import os
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from rillflow.plans import warehouse
+from rillflow.plans import streams, warehouse
 from rillflow.sources import sinks
 from rillflow.streaming import runner, stateful
 
@@ -54,3 +54,11 @@ def test_order_details_of_ten_years(spark, sf_dir):
     o, line = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
     days = F.datediff("l_shipdate", "o_orderdate")
     assert found == o.join(line, F.col("o_orderkey") == F.col("l_orderkey")).where(days.between(-5, 3650)).count()
+
+
+def test_windows_of_a_clock_leave_the_state(spark, sf_dir, monkeypatch):
+    modes, own = [], runner.collected
+    monkeypatch.setattr(runner, "collected", lambda df, mode="append", idle=True: modes.append(mode) or own(df, mode, idle))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    assert streams.t9_stream(spark, sf_dir).where("kind = 'tumbling'").agg(F.sum("n")).first()[0] == events.count()
+    assert set(modes) == {"append"}  # with a watermark: what was sent is forgotten
