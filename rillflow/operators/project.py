@@ -70,11 +70,12 @@ def route_by_config(changes: DataFrame, config: DataFrame) -> DataFrame:
     """Changes (table_name, op, after map) joined to rows of configuration (source_table, operate_type, sink_type,
     sink_table, sink_columns): only the configured columns of ``after`` stay, changes without a row go, deletes go first.
 
-    The configuration is one row for each table and operation; it is joined on both, and Spark broadcasts it by its size.
+    The configuration is one row for each table and operation; it is joined on both. It is always broadcast: by its few
+    keys all changes of a table would meet in one task.
     """
     kept = changes.where("op <> 'delete'")
     on = (kept["table_name"] == config["source_table"]) & (kept["op"] == config["operate_type"])
-    wide = kept.join(config, on)
+    wide = kept.join(F.broadcast(config), on)
     columns = F.split("sink_columns", ",")
     return wide.select(*changes.columns[:-1], F.map_filter("after", lambda k, _: F.array_contains(columns, k)).alias("after"), "sink_type", "sink_table")
 

@@ -6,6 +6,7 @@ import os
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from rillflow.operators import project
 from rillflow.plans import streams, warehouse
 from rillflow.sources import sinks
 from rillflow.streaming import runner, stateful
@@ -62,3 +63,17 @@ def test_windows_of_a_clock_leave_the_state(spark, sf_dir, monkeypatch):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     assert streams.t9_stream(spark, sf_dir).where("kind = 'tumbling'").agg(F.sum("n")).first()[0] == events.count()
     assert set(modes) == {"append"}  # with a watermark: what was sent is forgotten
+
+
+def test_changes_stay_where_they_are_read(spark):
+    changes = spark.range(100).select("id", F.when(F.col("id") % 2 == 0, "t").otherwise("u").alias("table_name"), F.when(F.col("id") % 3 == 0, "update").otherwise("insert").alias("op"), F.create_map(F.lit("a"), F.col("id").cast("string"), F.lit("b"), F.lit("x")).alias("after"))
+    config = spark.createDataFrame([("t", "insert", "kafka", "out", "a")], "source_table string, operate_type string, sink_type string, sink_table string, sink_columns string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # neither side's measured size decides
+    try:
+        out = project.route_by_config(changes, config)
+        rows = {(r.id, tuple(r.after)) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows == {(i, ("a",)) for i in range(100) if i % 2 == 0 and i % 3}
