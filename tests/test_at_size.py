@@ -77,3 +77,16 @@ def test_changes_stay_where_they_are_read(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
     assert rows == {(i, ("a",)) for i in range(100) if i % 2 == 0 and i % 3}
+
+
+def test_product_windows_meet_in_parts(spark, sf_dir, monkeypatch):
+    before = warehouse.w9_product_windows(spark, sf_dir).collect()
+    monkeypatch.setattr(warehouse, "PART_ROWS", 100)
+    out = warehouse.w9_product_windows(spark, sf_dir)
+    rows = sum(spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("events", "lineitem"))
+    assert out.rdd.getNumPartitions() >= rows // 100  # as many as the rows ask for
+    assert sorted(out.collect(), key=str) == sorted(before, key=str)
+    below = out._jdf.queryExecution().sparkPlan().toString()
+    dealt = [at for at, text in enumerate(below.splitlines()) if "Exchange" in text]
+    grouped = [at for at, text in enumerate(below.splitlines()) if "Aggregate" in text]
+    assert len(dealt) == 2 and max(grouped) < max(dealt)  # nothing is grouped where it is read
