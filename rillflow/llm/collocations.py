@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from .common import bitmap_of, cut, in_bitmap, table
 
 LEAST, LONGEST, TOP, SCALE = 100, 5, 2000, 1000
-#: Suffixes that a leading pair may have before they are dealt to several buckets, that a bucket has on the average, and
-#: that a task sorts at a time.
-ROUTE_ROWS, BUCKET_ROWS, SORT_ROWS = 1 << 20, 1 << 17, 1 << 19
+#: Suffixes that a leading pair may have before they are dealt to several buckets, that a bucket has on the average, that
+#: a task sorts at a time, and that it sends at a time.
+ROUTE_ROWS, BUCKET_ROWS, SORT_ROWS, SENT_ROWS = 1 << 20, 1 << 17, 1 << 17, 1 << 16
+#: Bytes of text whose words a task holds at a time, up to the next break.
+TEXT_BYTES = 1 << 22
 SEED = 42
 #: Parts of a lang whose best phrases are taken before the lang's.
 RANK_PARTS = 16
@@ -28,17 +30,21 @@ _MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[bytes]]]:
-    """(lang, words of its texts in order, with a break between pieces)."""
+    """(lang, words of its texts in order, with a break between pieces), TEXT_BYTES and the rest of a piece at a time."""
     texts = defaultdict(list)
     for lang, text in zip(batch.column("lang").cast(pa.binary()).to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
         if text:
             texts[lang].append(text)
-    for lang, own in texts.items():
-        yield lang, [w for w in _BREAK.join(own).translate(_BYTES).replace(_BREAK, b" \n ").split(b" ") if w]
+    for lang in list(texts):
+        flat, at = _BREAK.join(texts.pop(lang)).translate(_BYTES), 0
+        while at < len(flat):
+            end = flat.find(_BREAK, at + TEXT_BYTES) + 1 or len(flat)
+            yield lang, [w for w in flat[at:end].replace(_BREAK, b" \n ").split(b" ") if w]
+            at = end
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, word, n) of each batch; the empty word has the count of all."""
+    """(lang, word, n) of some words at a time; the empty word has the count of all."""
     for batch in batches:
         for lang, words in _by_lang(batch):
             count = Counter(words)
@@ -50,12 +56,12 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Numbered:
-    """Words of a batch and lang as numbers (0 is a break), their hashes, and which neighbours can both be frequent."""
+    """Words of a lang as numbers (0 is a break), their hashes, and which neighbours can both be frequent."""
 
     def __init__(self, lang: bytes, words: list[bytes], frequent: np.ndarray):
         self.names = [_BREAK, *(set(words) - {_BREAK})]
         number = {w: i for i, w in enumerate(self.names)}
-        self.ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        self.ids = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
         self.hashes = np.array([xxhash.xxh64_intdigest(lang + b"\0" + w, SEED) for w in self.names], np.uint64)
         can = in_bitmap(frequent, self.hashes)
         can[0] = False
@@ -90,24 +96,28 @@ def equal_partitions(keys: np.ndarray, weight: np.ndarray, least: int) -> Iterat
                 todo.append((equal, depth + 1))
 
 
-def _phrases_of(langs: list[bytes], suffixes: list[bytes], weight: np.ndarray, least: int, longest: int) -> Iterator[pa.RecordBatch]:
+def _joined(words: pa.Array, size: np.ndarray) -> pa.Array:
+    """Runs of so many words, each joined by blanks."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, size.cumsum()), pa.int32()), words), pa.scalar(b" ", pa.binary()))
+
+
+def _phrases_of(langs: pa.Array, suffixes: pa.Array, weight: np.ndarray, least: int, longest: int) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, words, n) of the equal partitions of two words and more."""
-    if not suffixes:
+    if not len(suffixes):
         return
-    flat = b" ".join(suffixes).split(b" ")
-    size = np.array([s.count(b" ") + 1 for s in suffixes])
-    number = {w: i + 1 for i, w in enumerate(sorted(set(flat)))}
-    lang_number = {x: i + 1 for i, x in enumerate(sorted(set(langs)))}
+    split = pc.split_pattern(suffixes, " ")
+    size, flat = pc.list_value_length(split).to_numpy(), split.flatten().dictionary_encode()
+    number = flat.indices.to_numpy()
     keys = np.zeros((len(suffixes), longest + 1), np.int32)
-    keys[:, 0] = [lang_number[x] for x in langs]
-    begin = size.cumsum() - size
-    keys[np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(begin, size) + 1] = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
+    keys[:, 0] = langs.dictionary_encode().indices.to_numpy() + 1
+    keys[:, 1:][np.arange(longest) < size[:, None]] = number + 1
     found = [(row, depth, n) for row, depth, n in equal_partitions(keys, weight, least) if depth > 1]
-    if found:
+    for k in range(0, len(found), SENT_ROWS):
+        row, depth, n = (np.array(c) for c in zip(*found[k : k + SENT_ROWS]))
+        words = keys[row, 1:]
         yield pa.record_batch({
-            "lang": pa.array([langs[row] for row, _, _ in found], pa.binary()),
-            "phrase": pa.array([b" ".join(flat[begin[row] : begin[row] + depth]) for row, depth, _ in found], pa.binary()),
-            "words": pa.array([depth for _, depth, _ in found], pa.int32()), "n": pa.array([n for _, _, n in found], pa.int64()),
+            "lang": langs.take(pa.array(row)), "phrase": _joined(flat.dictionary.take(pa.array(words[np.arange(longest) < depth[:, None]] - 1)), depth),
+            "words": pa.array(depth, pa.int32()), "n": pa.array(n, pa.int64()),
         })
 
 
@@ -117,8 +127,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, r
 
     Words are counted first, then pairs by hash; both only tell which suffixes can lead to a frequent phrase (bitmaps of
     fixed size, which let too many through but none too few). A suffix pointer stands for up to ``longest`` words
-    from a place, as far as neighbours can be frequent; equal ones of a task are one with a weight. They are routed by
-    their two leading words, in packets of a task's suffixes for one bucket of pairs; buckets are as many as the rows
+    from a place, as far as neighbours can be frequent; equal ones of TEXT_BYTES are one with a weight. They are routed by
+    their two leading words, in packets of such suffixes for one bucket of pairs; buckets are as many as the rows
     ask for. A pair with more than ``route_rows`` is dealt to several buckets by the whole suffix, and their counts are
     added. The buckets are sorted by ``equal_partitions``, some at a time.
     """
@@ -152,13 +162,13 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, r
                 can = np.zeros(len(own) + longest, bool)
                 can[at] = in_bitmap(lead, text.pairs(at))
                 at = np.flatnonzero(can)
-                ids = np.zeros((len(at), longest), np.int64)
+                ids = np.zeros((len(at), longest), np.int32)
                 ids[:, 0], ids[:, 1] = text.ids[at], text.ids[at + 1]
                 on = np.ones(len(at), bool)
                 for k in range(2, longest):
                     on &= can[at + k - 1]
                     ids[on, k] = text.ids[at[on] + k]
-                code = ids[:, 0]
+                code = ids[:, 0].astype(np.int64)
                 for k in range(1, longest):
                     _, first, code, n = np.unique(code * len(text.names) + ids[:, k], return_index=True, return_inverse=True, return_counts=True)
                 if not len(at):
@@ -173,14 +183,18 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, r
                 bucket = ((route >> np.uint64(11)) % buckets).astype(np.int64)
                 order = np.lexsort((hot, bucket))
                 bucket, hot = bucket[order], hot[order]
-                begin = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (hot[1:] != hot[:-1])]))
-                edges = pa.array(np.append(begin, len(order)), pa.int32())
-                names = text.names
-                suffixes = pa.array([b" ".join([names[i] for i in row if i]) for row in ids[order].tolist()], pa.binary())
-                yield pa.record_batch({
-                    "bucket": pa.array(bucket[begin]), "hot": pa.array(hot[begin]), "lang": pa.array([lang] * len(begin), pa.binary()),
-                    "suffixes": pa.ListArray.from_arrays(edges, suffixes), "n": pa.ListArray.from_arrays(edges, pa.array(n[order], pa.int64())),
-                })
+                starts = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (hot[1:] != hot[:-1])])
+                starts[::SENT_ROWS] = True  # packets end where a batch does
+                names, n = pa.array(text.names, pa.binary()), n[order]
+                for k in range(0, len(order), SENT_ROWS):
+                    rows = ids[order[k : k + SENT_ROWS]]
+                    begin = np.flatnonzero(starts[k : k + SENT_ROWS])
+                    edges = pa.array(np.append(begin, len(rows)), pa.int32())
+                    suffixes = _joined(names.take(pa.array(rows[rows > 0])), (rows > 0).sum(1))
+                    yield pa.record_batch({
+                        "bucket": pa.array(bucket[k + begin]), "hot": pa.array(hot[k + begin]), "lang": pa.array([lang] * len(begin), pa.binary()),
+                        "suffixes": pa.ListArray.from_arrays(edges, suffixes), "n": pa.ListArray.from_arrays(edges, pa.array(n[k : k + SENT_ROWS], pa.int64())),
+                    })
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -188,8 +202,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, r
         def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             for hot in (False, True):
                 own = rows.filter(pc.equal(rows["hot"], hot)).combine_chunks()
-                langs = own["lang"].take(pc.list_parent_indices(own["suffixes"])).to_pylist()
-                suffixes, weight = pc.list_flatten(own["suffixes"]).to_pylist(), pc.list_flatten(own["n"]).to_numpy()
+                langs = own["lang"].take(pc.list_parent_indices(own["suffixes"])).combine_chunks()
+                suffixes, weight = pc.list_flatten(own["suffixes"]).combine_chunks(), pc.list_flatten(own["n"]).to_numpy()
                 yield from _phrases_of(langs, suffixes, weight, 1 if hot else least, longest)
 
         for batch in batches:

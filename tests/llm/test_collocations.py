@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rillflow.llm import collocations as co
@@ -80,3 +81,16 @@ def test_equal_partitions():
                     want[tuple(row[: d + 1])] += w
         got = {tuple(keys[r, : d + 1].tolist()): n for r, d, n in co.equal_partitions(keys, weight, least)}
         assert got == {k: n for k, n in want.items() if n >= least}
+
+
+def test_words_are_held_some_at_a_time(monkeypatch):
+    rows = [("en", "a b, c"), (None, None), ("de", "x y z"), ("en", "d e\nf"), ("en", "one piece without a mark in it. g"), ("en", "")]
+    batch = pa.record_batch({"lang": pa.array([r[0] or "und" for r in rows]), "text": pa.array([r[1] for r in rows])})
+    whole = {lang: words for lang, words in co._by_lang(batch)}
+    monkeypatch.setattr(co, "TEXT_BYTES", 4)
+    parts = {}
+    for lang, words in co._by_lang(batch):
+        parts.setdefault(lang, []).append(words)
+    assert {lang: [w for p in some for w in p] for lang, some in parts.items()} == whole
+    assert [len(p) for p in parts[b"en"]] == [5, 5, 8, 2]
+    assert all(p[-1] == b"\n" for some in parts.values() for p in some[:-1])  # no phrase goes on in another part
