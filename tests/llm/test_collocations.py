@@ -92,5 +92,5 @@ def test_words_are_held_some_at_a_time(monkeypatch):
     for lang, words in co._by_lang(batch):
         parts.setdefault(lang, []).append(words)
     assert {lang: [w for p in some for w in p] for lang, some in parts.items()} == whole
-    assert [len(p) for p in parts[b"en"]] == [5, 5, 8, 2]
+    assert [len(p) for p in parts[b"en"]] == [5, 5, 8, 1]
     assert all(p[-1] == b"\n" for some in parts.values() for p in some[:-1])  # no phrase goes on in another part
