@@ -65,6 +65,23 @@ def test_windows_of_a_clock_leave_the_state(spark, sf_dir, monkeypatch):
     assert set(modes) == {"append"}  # with a watermark: what was sent is forgotten
 
 
+def test_state_of_clock_windows_has_parts_for_its_rows(spark, sf_dir, monkeypatch):
+    """A store of state costs each batch far more than a row does, so a stream hasn't as many as a shuffle has partitions."""
+    paths, own = [], runner.fresh_dir
+    monkeypatch.setattr(runner, "fresh_dir", lambda s: paths.append(own(s)) or paths[-1])
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert streams.t9_stream(spark, sf_dir).count()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    stores = [len([n for n in os.listdir(f"{p}/state/0") if n.isdigit()]) for p in paths if os.path.isdir(f"{p}/state/0")]
+    assert stores == [spark.sparkContext.defaultParallelism] * 3
+    with runner.state_for(spark, 100 * runner.STATE_ROWS + 1):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "101"
+
+
 def test_changes_stay_where_they_are_read(spark):
     changes = spark.range(100).select("id", F.when(F.col("id") % 2 == 0, "t").otherwise("u").alias("table_name"), F.when(F.col("id") % 3 == 0, "update").otherwise("insert").alias("op"), F.create_map(F.lit("a"), F.col("id").cast("string"), F.lit("b"), F.lit("x")).alias("after"))
     config = spark.createDataFrame([("t", "insert", "kafka", "out", "a")], "source_table string, operate_type string, sink_type string, sink_table string, sink_columns string")
